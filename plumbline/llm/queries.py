@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import canonical, neardup
+from plumbline.llm import canonical, mixing, neardup, tokenizer
+from plumbline.session import cut
 from plumbline.sources.tables import table
 
 RUN_WORDS, DEFINITION_SHARE, NAME_EDITS = 3, 0.5, 3
@@ -52,13 +53,35 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each module that is similar to another, with the least module_id of its group."""
+    """Each module whose definition has a run of words, with the least module_id of its group of similar ones."""
     signed, pairs = _definitions(spark, sf_dir)
     classes, links = neardup.linked_classes(signed, pairs)
     comp = neardup.components(links)
-    member = classes.join(comp.withColumnRenamed("node", "cid"), "cid").select("s1", "c1", "c2", "c3", "root")
+    member = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "c1", "c2", "c3", F.coalesce("root", "cid").alias("root"))
     return signed.select("id", "s1", "c1", "c2", "c3").join(member, ["s1", "c1", "c2", "c3"]).select(F.col("id").alias("module_id"), F.col("root").alias("group_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    e = tokenizer.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return e.select(F.col("id").alias("doc_id"), "ids")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return cut(tokenizer.count_tokens(docs, "text", "doc_id", "source").withColumnRenamed("ids", "n_tokens"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of documents to the target shares of their sources."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source in the mix."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(cut(mixing.mix(sized, targets)), sized, targets)
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}
