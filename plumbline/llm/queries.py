@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import canonical, mixing, neardup, tokenizer
+from plumbline.llm import canonical, mixing, neardup, pii, tokenizer
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -83,5 +83,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(cut(mixing.mix(sized, targets)), sized, targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs, pii.find(docs, "doc_id", "text", table(spark, sf_dir, "name_list"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal information in the documents."""
+    return _found(spark, sf_dir)[1].withColumnRenamed("id", "doc_id")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal information replaced by placeholders."""
+    docs, found = _found(spark, sf_dir)
+    return pii.redact(docs, "doc_id", "text", cut(found)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}
