@@ -12,7 +12,7 @@ from plumbline.sources.tables import table
 RUN_WORDS, DEFINITION_SHARE, NAME_EDITS = 3, 0.5, 3
 #: Signature layout: bands x rows, and the agreeing sketch bytes (of 64) asked of a candidate, four deviations below the mean.
 DEFINITION_SKETCH = {"bands": 64, "rows": 4, "least": 16}
-NAME_SKETCH = {"bands": 42, "rows": 6, "least": 26, "short": 36}
+NAME_SKETCH = {"bands": 54, "rows": 7, "least": 30, "short": 36}
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
