@@ -46,16 +46,16 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of modules with similar definitions that are not copies, and pairs of similar module names."""
     signed, pairs = _definitions(spark, sf_dir)
-    _, links = neardup.linked_classes(signed, pairs)
+    links = cut(neardup.linked_classes(signed, cut(pairs))[1])  # small; every later plan starts from it
     rows = neardup.expand(signed, links).select(F.lit("definition").alias("record_kind"), F.least("p", "q").cast("string").alias("key_a"), F.greatest("p", "q").cast("string").alias("key_b"))
-    names = _names(spark, sf_dir).select(F.lit("module_name").alias("record_kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+    names = cut(_names(spark, sf_dir)).select(F.lit("module_name").alias("record_kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
     return rows.unionByName(names)
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each module whose definition has a run of words, with the least module_id of its group of similar ones."""
     signed, pairs = _definitions(spark, sf_dir)
-    classes, links = neardup.linked_classes(signed, pairs)
+    classes, links = neardup.linked_classes(signed, cut(pairs))
     comp = neardup.components(links)
     member = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "c1", "c2", "c3", F.coalesce("root", "cid").alias("root"))
     return signed.select("id", "s1", "c1", "c2", "c3").join(member, ["s1", "c1", "c2", "c3"]).select(F.col("id").alias("module_id"), F.col("root").alias("group_id"))
