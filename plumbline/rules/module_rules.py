@@ -70,7 +70,7 @@ FACT_RULES: dict[str, tuple[str, str, str]] = {
     "metrics/too-many-case-branches": ("case", "n > 5", "High"),
     "metrics/case-branch-too-long": ("op", _has("long_branch"), "High"),
     "formatting/tab-character": ("line", "a = 'tab'", "High"),
-    "formatting/multiple-statements-per-line": ("stmt", _has("same_line"), "High"),
+    "formatting/multiple-statements-per-line": ("mark", _has("same_line"), "High"),
     "formatting/multiple-declarations-per-line": ("var", _has("same_line"), "High"),
     "formatting/missing-begin-end": ("stmt", f"a in ('if','while') and {_has('unbraced')}", "High"),
     "formatting/single-line-conditional-body": ("stmt", f"a in ('if','while') and {_has('unbraced', 'same_line_body')}", "High"),
@@ -147,7 +147,7 @@ FACT_RULES: dict[str, tuple[str, str, str]] = {
     "duplication/nested-conditional-expression": ("op", _has("nested_iif"), "High"),
     "duplication/single-iteration-loop": ("stmt", _has("single_iteration"), "Medium"),
     # dead code
-    "dead-code/unreachable-code": ("stmt", _has("unreachable"), "High"),
+    "dead-code/unreachable-code": ("mark", _has("unreachable"), "High"),
     "dead-code/unused-local-variable": ("var_use", "n = 0", "High"),
     "dead-code/unused-parameter": ("param_use", "n = 0 and not array_contains(f,'output')", "High"),
     # dynamic SQL and security

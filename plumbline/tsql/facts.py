@@ -17,6 +17,7 @@ RELATIONS = {
     "comment": "comment: text",
     "line": "line that is long or holds a tab: length",
     "stmt": "statement: kind, target, detail",
+    "mark": "where a statement starts on the line of another or can not be reached",
     "from_ref": "table reference: name, alias, kind; number of name parts",
     "join": "join: kind, text of its condition",
     "select_item": "item of a select list: text, alias, kind",
@@ -398,8 +399,9 @@ class Walk:
             found.append((name, at, lo, hi))
             self.query(lo, hi, "cte")
             i = hi + 1
-            if i < e and self.t[i].text == ",":
-                i += 1
+            if i >= e or self.t[i].text != ",":
+                break
+            i += 1
         for name, at, lo, hi in found:
             inside = sum(self.t[k].low == name and self.low(k - 1) in ("from", "join", ",", "apply") for k in range(lo, hi))
             refs = sum(self.t[k].low == name and self.low(k - 1) in ("from", "join", ",", "apply", "using") for k in range(hi, e))
@@ -568,7 +570,7 @@ class Walk:
 
     def end_of(self, s: int, e: int) -> int:
         """Where the statement at ``s`` ends: a semicolon, END, ELSE or the start of another statement."""
-        kind, i, case, sub = self.low(s), self.skip(s), 0, False
+        kind, i, case, sub, assigned = self.low(s), self.skip(s), 0, False, False
         lead = kind
         if kind == "with":
             i = self._after_ctes(s + 1, e)
@@ -592,19 +594,19 @@ class Walk:
                 ok = (
                     (w in ("select",) and prev in ("union", "all", "except", "intersect", "for", "as", ")") and (prev != ")" or lead == "insert" and not sub))
                     or (lead == "insert" and w in ("select", "exec", "execute") and not sub)
-                    or (lead in ("update", "merge") and w == "set")
+                    or (lead == "update" and w == "set" and not assigned)
+                    or (lead == "merge" and w == "set" and prev == "update")
                     or (lead == "merge" and (prev in ("then", "matched") or w in ("update", "insert", "delete") and prev == "then"))
                     or (lead == "select" and w == "fetch" and prev in ("row", "rows"))
                     or (lead in ("alter", "create", "grant", "deny", "revoke", "enable", "disable", "drop", "restore", "backup") and (w in ("set", "select", "insert", "update", "delete", "alter", "drop", "execute", "exec", "with", "enable", "disable", "create") and (prev in ("on", "for", "after", "of", ",", "grant", "deny", "revoke", "database", "table", "schema", "cascade") or lead == "alter" and w in ("set", "alter", "drop", "with") and sub is False and self.low(s + 1) in ("table", "database", "index") and t.line <= self.t[s].line + 2)))
                     or (w in ("update", "open") and prev in ("for", "of"))
                     or (w == "begin" and prev in ("atomic",))
-                    or (lead in ("fetch", "open", "close", "deallocate") and False)
                     or (lead == "declare" and w == "select" and prev == "for")
-                    or (lead in ("execute", "exec") and w in ("revert",) and False)
                 )
                 if not ok:
                     return i
                 sub = sub or w in ("select", "exec", "execute")
+                assigned = assigned or w == "set"
             elif t.kind == "word" and i + 1 < e and self.t[i + 1].text == ":" and prev not in ("case",) and t.line != self.t[i - 1].line:
                 return i
             i = self.skip(i)
@@ -637,10 +639,10 @@ class Walk:
                 break
             before = i
             if ended and w not in ("begin",) and not (i + 1 < e and self.t[i + 1].text == ":"):
-                self.add("stmt", i, w, f=["unreachable"])
+                self.add("mark", i, w, f=["unreachable"])
                 ended = False
             if kinds and self.t[kinds[-1][1]].line == self.t[i].line:
-                self.add("stmt", i, w, f=["same_line"])
+                self.add("mark", i, w, f=["same_line"])
             kinds.append((w, i))
             i = self.statement(i, e, depth)
             ended = w in ("return", "throw", "break", "continue", "goto")
