@@ -148,7 +148,7 @@ def sign(batches: Iterator[pa.RecordBatch], runs: Callable, size: int, bands: in
             yield pa.RecordBatch.from_arrays(cols, ["id", "s1", "s2", "items", "bands", "sketch", "c1", "c2", "c3"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Buckets sorted by (h, sid) in; ``(a, b, h)`` out: pairs of small buckets, and ``(sid, null, h)`` for members of large ones."""
     rest_h, rest_s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     large: int | None = None
@@ -170,7 +170,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_b.append(s[two + 1])
         odd = (lens > 2) if large is None else (lens > 2) | (h[starts] == large)
         for st, ln in zip(starts[odd], lens[odd], strict=True):
-            if ln > BLOCK or h[st] == large:
+            if ln > block or h[st] == large:
                 yield members(h[st : st + ln], s[st : st + ln])
             elif ln > 2:
                 i, j = np.triu_indices(ln, 1)
@@ -190,7 +190,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(h, h[-1], side="left"))
         yield from flush(h[:last], s[:last])
         rest_h, rest_s = h[last:], s[last:]
-        if len(rest_h) > BLOCK or (large is not None and rest_h[0] == large):  # a large bucket is passed on as it comes
+        if len(rest_h) > block or (large is not None and rest_h[0] == large):  # a large bucket is passed on as it comes
             yield members(rest_h, rest_s)
             large = int(rest_h[0])
             rest_h, rest_s = rest_h[:0], rest_s[:0]
@@ -213,27 +213,27 @@ def _block_pairs(least: int):
     return compare
 
 
-def _large_buckets(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+def _large_buckets(members: DataFrame, sketches: DataFrame, least: int, block: int) -> DataFrame:
     """Candidate pairs within large buckets: blocks against blocks, each pair of blocks a unit of work of its own."""
     sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(sizes, "h").join(sketches, "s1").withColumn("k", F.ceil(F.col("n") / (8 * BLOCK)).cast("int"))
+    rows = members.join(sizes, "h").join(sketches, "s1").withColumn("k", F.ceil(F.col("n") / (8 * block)).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("s1", "h"), F.col("k")).cast("int"))
     units = rows.select("h", "s1", "sketch", "blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     units = units.select("h", F.least("blk", "other").alias("u"), F.greatest("blk", "other").alias("v"), "s1", "sketch", F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"))
     return units.groupBy("h", "u", "v").applyInArrow(_block_pairs(least), "a long, b long")
 
 
-def candidates(signed: DataFrame, least: int) -> DataFrame:
+def candidates(signed: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """Distinct ``(a, b)`` of set ids ``s1`` that share a band and agree in at least ``least`` of the sketch's bytes."""
     n = parallelism(signed.sparkSession)
     sets = signed.groupBy("s1").agg(F.first("bands").alias("bands"))  # exact copies have one set; they collapse here
     ordered = sets.select("s1", F.explode("bands").alias("h")).repartition(n, "h").sortWithinPartitions("h", "s1")
-    raw = cut(ordered.mapInArrow(_pairs, "a long, b long, h long"))
+    raw = cut(ordered.mapInArrow(lambda it: _pairs(it, block), "a long, b long, h long"))
     sketches = signed.select("s1", "sketch")
     pairs = raw.where(F.col("h").isNull()).select("a", "b")
     members = raw.where(F.col("h").isNotNull()).select("h", F.col("a").alias("s1"))
     if members.limit(1).count():
-        pairs = pairs.unionByName(_large_buckets(members, sketches.dropDuplicates(["s1"]), least))
+        pairs = pairs.unionByName(_large_buckets(members, sketches.dropDuplicates(["s1"]), least, block))
     pairs = pairs.distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
     near = sketches.join(wanted, "s1", "left_semi").dropDuplicates(["s1"])
@@ -253,9 +253,9 @@ def _agree(x, y):
     return F.lit(SKETCH) - differ
 
 
-def similar_sets(signed: DataFrame, share: float, least: int) -> DataFrame:
+def similar_sets(signed: DataFrame, share: float, least: int, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: pairs of set ids whose sets share at least ``share`` of their union, checked on the sets themselves."""
-    pairs = cut(candidates(signed, least))
+    pairs = cut(candidates(signed, least, block))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
     sets = signed.select("s1", "items").join(wanted, "s1", "left_semi").dropDuplicates(["s1"])
     both = pairs.join(sets.select(F.col("s1").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("s1").alias("b"), F.col("items").alias("y")), "b")
