@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.rules.module_rules import FACT_RULES
-from plumbline.session import ship
+from plumbline.session import ship, spread
 
 FACTS = "module_id long, rel string, line int, col int, stmt int, a string, b string, c string, n long, f array<string>"
 _ARROW = pa.schema([("module_id", pa.int64()), ("rel", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("stmt", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("f", pa.list_(pa.string()))])
@@ -36,7 +36,7 @@ def module_facts(modules: DataFrame, ident: str = "module_id", text: str = "defi
     """The facts of each module with a non-null text; a module that can't be read gives a ``skipped`` fact."""
     ship(modules.sparkSession)
     rows = modules.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(_parse, FACTS)
+    return spread(rows).mapInArrow(_parse, FACTS)
 
 
 def single_fact_findings(facts: DataFrame) -> DataFrame:

@@ -63,3 +63,12 @@ def ship(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for exchanges that an operator sizes itself: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for a pass that costs much more than reading.
+
+    A small file is one partition, and would be one task; inputs with enough partitions are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
