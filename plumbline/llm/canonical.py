@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import ship, spread
 
 _STOP = "select from into where union except intersect group order having option for insert update delete merge exec execute set declare if begin while return print throw raiserror create drop alter truncate commit rollback with else go end".split()
 _WORDS = "|".join([*_STOP, "case"])
@@ -209,7 +209,7 @@ def record_keys(df: DataFrame, ident: str, name: str, text: str) -> DataFrame:
     """``(id, hi, lo, chk)`` of each row with a non-null text."""
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{name}`").cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.where(F.col("text").isNotNull()).mapInArrow(_keys, "id long, hi long, lo long, chk long")
+    return spread(rows.where(F.col("text").isNotNull())).mapInArrow(_keys, "id long, hi long, lo long, chk long")
 
 
 #: A form that stands for more than one in so many rows is hot; at most so many forms can be.

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, parallelism, ship
+from plumbline.session import cut, parallelism, ship, spread
 
 _WORD = re.compile(r"[\w@#]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -271,7 +271,7 @@ def signed_texts(df: DataFrame, ident: str, text: str, size: int, bands: int, ro
     kind = "string" if dict(df.dtypes)[ident] == "string" else "long"
     source = df.select(*cols).where(F.col("text").isNotNull()).withColumn("id", F.col("id").cast(kind))
     schema = f"id {kind}, s1 long, s2 long, items array<int>, bands array<long>, sketch array<long>, c1 long, c2 long, c3 long"
-    return cut(source.mapInArrow(lambda it: sign(it, runs, size, bands, rows, extra), schema))
+    return cut(spread(source).mapInArrow(lambda it: sign(it, runs, size, bands, rows, extra), schema))
 
 
 def linked_classes(signed: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

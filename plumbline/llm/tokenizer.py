@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import ship, spread
 
 #: Where the public vocabulary files lie.
 FOLDER = "/opt/tokenizers"
@@ -164,7 +164,7 @@ def encode(df: DataFrame, ident: str, text: str, folder: str = FOLDER, vocabular
     kind = dict(df.dtypes)[ident]
     rows = df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     big = F.coalesce(F.length("text"), F.lit(0)) > block
-    out = rows.where(~big).mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, False), f"id {kind}, ids array<int>")
+    out = spread(rows.where(~big)).mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, False), f"id {kind}, ids array<int>")
     parts = rows.where(big).select("id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / block).cast("int"))).alias("k"))
     parts = parts.select("id", "k", F.substring("text", F.col("k") * block + 1, F.lit(block)).alias("text")).repartition("id", "k")
     done = parts.select("id", "k", F.col("text").alias("part"), "text").mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, False), f"id {kind}, k int, part string, ids array<int>")
@@ -178,4 +178,4 @@ def count_tokens(df: DataFrame, text: str, *keep: str, folder: str = FOLDER, voc
     kinds = dict(df.dtypes)
     rows = df.select(*keep, F.col(f"`{text}`").cast("string").alias("text"))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids long"])
-    return rows.mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, True), schema)
+    return spread(rows).mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, True), schema)
