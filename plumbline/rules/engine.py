@@ -107,16 +107,6 @@ def outer_collapse(facts: DataFrame) -> DataFrame:
     return _finding(preds.join(right, ["module_id", "stmt", "alias"], "left_semi"), "join/outer-join-predicate-collapse", "High", F.col("a"))
 
 
-def tvf_fences(facts: DataFrame) -> DataFrame:
-    """Uses of functions that the corpus itself defines as multi-statement table functions."""
-    ms = _rel(facts, "var_table_function").select(F.col("b").alias("a"))
-    refs = _rel(facts, "from_ref").where("c = 'function'")
-    per = _rel(facts, "from_ref").groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("k"))
-    use = refs.join(ms.distinct(), "a", "left_semi").join(per, ["module_id", "stmt"])
-    rule = F.when(_has("correlated"), "tvf-fence/correlated-apply").when(F.col("k") > 1, "tvf-fence/from-or-join").otherwise("tvf-fence/standalone")
-    return use.select("module_id", rule.alias("rule_id"), "line", "col", F.lit("High").alias("confidence"), F.col("a").alias("detail"))
-
-
 def scalar_udfs(facts: DataFrame) -> DataFrame:
     """Calls of scalar functions that the corpus defines, in predicates and elsewhere."""
     udf = _rel(facts, "module").where("a = 'function'").select(F.col("b").alias("a")).distinct()

@@ -108,12 +108,11 @@ FACT_RULES: dict[str, tuple[str, str, str]] = {
     "query/recursive-cte-missing-maxrecursion": ("cte", _has("recursive"), "Medium"),
     "lineage/multi-referenced-cte": ("cte", "n >= 2 and not array_contains(f,'recursive')", "High"),
     "view/top-percent-order-by-no-op": ("query", f"{_has('top_100_percent', 'order')}", "High"),
-    "dml/self-referencing": ("self_ref", "true", "Medium"),
     "tvf-fence/insert-exec": ("stmt", "a = 'insert' and c in ('exec','execute')", "High"),
     # windows and functions
     "window-frame/explicit-range": ("window", "b = 'range'", "High"),
     "window-frame/implicit-default-range": ("window", f"b = '' and {_has('ordered')} and a not in {_NO_FRAME}", "High"),
-    "window-function/lag-lead-negative-offset": ("window_call", "a in ('lag','lead') and n >= 2 and element_at(split(b, ' , '), 2) rlike '^- ?\\\\d+$'", "High"),
+    "window-function/lag-lead-negative-offset": ("call", "a in ('lag','lead') and n >= 2 and element_at(split(b, ' , '), 2) rlike '^- ?\\\\d+$'", "High"),
     "window-function/percentile-out-of-range": ("call", "a in ('percentile_cont','percentile_disc') and try_cast(c as double) is not null and (try_cast(c as double) > 1 or try_cast(c as double) < 0)", "High"),
     "window-function/tablesample-percent-out-of-range": ("hint", f"{_has('sample')} and (n < 0 or n > 100)", "High"),
     "string-tvf/string-split-separator-length": ("call", "a = 'string_split' and n >= 2 and element_at(split(b, ' , '), 2) rlike \"^n?'\" and length(element_at(split(b, ' , '), 2)) - 2 - cast(element_at(split(b, ' , '), 2) like 'n%' as int) <> 1", "High"),
@@ -181,7 +180,6 @@ FACT_RULES: dict[str, tuple[str, str, str]] = {
     "catalog/drop-fixed-database-role": ("stmt", "a = 'drop' and b = 'role' and c rlike '\\\\b(db_owner|db_accessadmin|db_securityadmin|db_ddladmin|db_backupoperator|db_datareader|db_datawriter|db_denydatareader|db_denydatawriter)\\\\b'", "High"),
     "catalog/memory-optimized-ledger-conflict": ("stmt", "a = 'create table' and c rlike 'memory_optimized = on' and c rlike 'ledger = on'", "High"),
     "predicates/full-text-predicate-in-aggregate": ("call", f"a in {_AGG} and b rlike '\\\\b(contains|freetext) \\\\(' and not array_contains(f,'windowed')", "Medium"),
-    "control-flow/truncate-swallowed-by-catch": ("swallowed", "true", "High"),
 }
 
 #: Literals that stay literals although the database parameterizes statements, by the region they stand in.
