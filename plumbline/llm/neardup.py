@@ -274,16 +274,16 @@ def signed_texts(df: DataFrame, ident: str, text: str, size: int, bands: int, ro
     return cut(spread(source).mapInArrow(lambda it: sign(it, runs, size, bands, rows, extra), schema))
 
 
-def linked_classes(signed: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_classes(signed: DataFrame, pairs: DataFrame, same_key: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes ``(cid, s1, c1, c2, c3)`` of rows with one set and one extra key, and links ``(x, y)`` between classes.
 
-    Classes of one set differ in the extra key only; they are linked with each other, and with those of a similar set unless
-    the extra keys are equal.
+    Classes of one set differ in the extra key only; they are linked with each other, and with those of a similar set. Similar
+    sets with equal extra keys are linked only with ``same_key``: such copies are no pairs to report, but belong in one group.
     """
     classes = signed.groupBy("s1", "c1", "c2", "c3").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("n"))
     a = classes.select(F.col("s1").alias("a"), F.col("cid").alias("x"), F.struct("c1", "c2", "c3").alias("cx"))
     b = classes.select(F.col("s1").alias("b"), F.col("cid").alias("y"), F.struct("c1", "c2", "c3").alias("cy"))
-    across = pairs.join(a, "a").join(b, "b").where(F.col("cx") != F.col("cy")).select("x", "y")
+    across = pairs.join(a, "a").join(b, "b").where(F.lit(same_key) | (F.col("cx") != F.col("cy"))).select("x", "y")
     several = classes.groupBy("s1").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("s1")
     inside = classes.join(several, "s1", "left_semi")
     inside = inside.select("s1", F.col("cid").alias("x")).join(inside.select("s1", F.col("cid").alias("y")), "s1").where(F.col("x") < F.col("y")).select("x", "y")

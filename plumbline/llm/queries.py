@@ -55,7 +55,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each module whose definition has a run of words, with the least module_id of its group of similar ones."""
     signed, pairs = _definitions(spark, sf_dir)
-    classes, links = neardup.linked_classes(signed, cut(pairs))
+    classes, links = neardup.linked_classes(signed, cut(pairs), same_key=True)
     comp = neardup.components(links)
     member = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "c1", "c2", "c3", F.coalesce("root", "cid").alias("root"))
     return signed.select("id", "s1", "c1", "c2", "c3").join(member, ["s1", "c1", "c2", "c3"]).select(F.col("id").alias("module_id"), F.col("root").alias("group_id"))
