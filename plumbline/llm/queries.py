@@ -53,12 +53,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each module whose definition has a run of words, with the least module_id of its group of similar ones."""
+    """Each module with the least module_id of its group of similar ones; one without a run of words is a group of its own."""
     signed, pairs = _definitions(spark, sf_dir)
     classes, links = neardup.linked_classes(signed, cut(pairs), same_key=True)
     comp = neardup.components(links)
     member = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "c1", "c2", "c3", F.coalesce("root", "cid").alias("root"))
-    return signed.select("id", "s1", "c1", "c2", "c3").join(member, ["s1", "c1", "c2", "c3"]).select(F.col("id").alias("module_id"), F.col("root").alias("group_id"))
+    grouped = signed.select("id", "s1", "c1", "c2", "c3").join(member, ["s1", "c1", "c2", "c3"]).select(F.col("id").alias("module_id"), F.col("root").alias("group_id"))
+    alone = table(spark, sf_dir, "live_modules", "module_id").join(signed.select(F.col("id").alias("module_id")), "module_id", "left_anti")
+    return grouped.unionByName(alone.select("module_id", F.col("module_id").alias("group_id")))
+
+
+def p3_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each module name of duplication_findings with the least name, in code point order, of its group of similar ones."""
+    comp = neardup.components(_names(spark, sf_dir).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    names = table(spark, sf_dir, "duplication_findings", "module_qualified_name").where(F.col("module_qualified_name").isNotNull()).distinct()
+    return names.join(comp.withColumnRenamed("node", "module_qualified_name"), "module_qualified_name", "left").select("module_qualified_name", F.coalesce("root", "module_qualified_name").alias("group_name"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +108,5 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(docs, "doc_id", "text", cut(found)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p3_name_groups": p3_name_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}

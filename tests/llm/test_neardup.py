@@ -136,3 +136,15 @@ def test_groups_hold_copies_of_other_word_runs(spark, tmp_path):
     assert runs(one) != runs(two) and jaccard(runs(one), runs(two)) >= 0.5
     assert {r.module_id: r.group_id for r in Q.p3_groups(spark, folder).collect()} == {5: 5, 9: 5, 12: 12}
     assert Q.p3_found(spark, folder).count() == 0
+
+
+def test_modules_without_runs_and_names_have_groups(spark, tmp_path):
+    text = "select a, b from dbo.orders where region = 4"
+    modules = [(1, "a", None), (2, "b", "two words"), (3, "c", text), (4, "d", text + " and 1 = 1"), (7, None, "")]
+    names = ["dbo.usp_LoadOrders", "dbo.usp_LoadOrdres", "dbo.usp_LoadOrdres", "DBO.usp_LoadOrdresXYZ", "dbo.vw_Nothing", None, ""]
+    folder = tables(spark, tmp_path, modules, names)
+    assert sorted((r.module_id, r.group_id) for r in Q.p3_groups(spark, folder).collect()) == [(1, 1), (2, 2), (3, 3), (4, 3), (7, 7)]
+    least = "DBO.usp_LoadOrdresXYZ"
+    assert distance(least.lower(), names[0].lower()) > 3  # held together by the name between them
+    got = sorted(tuple(r) for r in Q.p3_name_groups(spark, folder).collect())
+    assert got == sorted([(n, least) for n in (names[0], names[1], least)] + [("", ""), ("dbo.vw_Nothing", "dbo.vw_Nothing")])
