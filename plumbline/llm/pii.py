@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,11 @@ ROUNDS, SUPPORT, GOOD, SURE = 3, 3, 0.65, 0.75
 KEPT = 0.2
 #: Share of known shapes that makes a pattern of phone-like numbers one of phone numbers, which have many shapes.
 PHONES = 0.25
-#: Most patterns that the extraction uses, the best supported ones; bounds what is sent to the executors.
+#: Most patterns of a kind that are sent to the executors, the best supported ones; documents are joined with the others.
 MOST_PATTERNS = 20_000
+#: Bits of the map of those others. It is of a fixed size; a pattern wrongly held to be on it costs a row and no result.
+MAP_BITS = 1 << 24
+KINDS = ["name", "number", "shape", "place"]
 
 _S = "[   ]"
 _CAP = r"[A-ZÀ-ÖØ-Þ]\w*(?:['’\-]\w+)*"
@@ -108,14 +115,19 @@ class _Words:
         self.at = [x[0] for x in found]
         self.words = ["^", "^", *(w[0] if w[0] in _MASKS else "9" if w[0].isdigit() else w.lower() for _, w in found), "$", "$"]
 
-    def frames(self, s: int, e: int) -> tuple[str, str, str]:
-        """The patterns of a span: two words on both sides, and two on one side with one on the other. A title before it is skipped."""
-        w, i, j = self.words, bisect_left(self.at, s) + 2, bisect_left(self.at, e) + 2
+    def left(self, k: int) -> tuple[str, str]:
+        """The two words before word ``k``. A title before it is skipped."""
+        w, i = self.words, k + 2
         if w[i - 1] in _SKIPPED:
             i -= 1
         elif w[i - 1] == "." and w[i - 2] in _SKIPPED:
             i -= 2
-        a, b, c, d = w[i - 2], w[i - 1], w[j], w[j + 1]
+        return w[i - 2], w[i - 1]
+
+    def frames(self, s: int, e: int) -> tuple[str, str, str]:
+        """The patterns of a span: two words on both sides, and two on one side with one on the other."""
+        j = bisect_left(self.at, e) + 2
+        (a, b), c, d = self.left(bisect_left(self.at, s)), self.words[j], self.words[j + 1]
         return f"{a} {b}|{c} {d}", f"{b}|{c} {d}", f"{a} {b}|{c}"
 
 
@@ -305,12 +317,20 @@ def _score_numbers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, known
 
 
+def _lefts(names: Mapping[str, float]) -> dict[str, None]:
+    """What may stand before the bar of the patterns; a bar can be a word, so every one counts."""
+    return {p[:i]: None for p in names for i, c in enumerate(p) if c == "|"}
+
+
 class Finder:
-    """Finds spans in one text with good patterns; ``None`` for the tokens of a span means it needs no further proof."""
+    """Finds spans in one text with good patterns; ``None`` for the tokens of a span means it needs no further proof.
 
-    def __init__(self, names: dict[str, float], numbers: dict[str, str], shapes: dict[str, str], places: set[str]):
-        self.names, self.numbers, self.shapes, self.places = names, numbers, shapes, places
-        self.lefts = {p.split("|")[0] for p in names}
+    With ``asking`` no name is taken, so that every pattern is asked for that could be, whatever the answers are.
+    """
+
+    def __init__(self, names: Mapping[str, float], numbers: Mapping[str, str], shapes: Mapping[str, str], places: Mapping[str, str], lefts: Mapping[str, None] | None = None, asking: bool = False):
+        self.names, self.numbers, self.shapes, self.places, self.asking = names, numbers, shapes, places, asking
+        self.lefts = _lefts(names) if lefts is None else lefts
 
     def __call__(self, text: str) -> list[tuple[int, int, str, list[str] | None, int]]:
         free = _Free(len(text))
@@ -320,7 +340,7 @@ class Finder:
         for m in ADDRESS.finditer(text):
             keys = _place_keys(text, m.start(), m.end())
             full = _POSTCODE.search(m.group()) is not None or "Box" in m.group()
-            if (full or self.places.intersection(keys) or _labelled(keys[0], ADDRESS_LABELS)) and free.take(m.start(), m.end()):
+            if (full or any(k in self.places for k in keys) or _labelled(keys[0], ADDRESS_LABELS)) and free.take(m.start(), m.end()):
                 places.append((m.start(), m.end()))
                 out.append((m.start(), m.end(), "address", None, 0))
         text = _masked(text, places, _PLACE)
@@ -328,7 +348,7 @@ class Finder:
         for s, e, shape in numbers:
             keys = _number_keys(text, s)
             by_label = any(_labelled(k, ID_LABELS) for k in keys)
-            kind = "id_number" if by_label else next((self.numbers[k] for k in keys if k in self.numbers), None)
+            kind = "id_number" if by_label else next(filter(None, map(self.numbers.get, keys)), None)
             if kind is None or kind == "phone" and "A" in shape:
                 kind = self.shapes.get(shape)
             if kind and free.take(s, e):
@@ -337,9 +357,12 @@ class Finder:
         words = _Words(text)
         for s, e in list(_runs(text)):
             self._name(text, words, s, e, free, out)
-        w, lefts = words.words, self.lefts
+        lefts = self.lefts
         for k, s in enumerate(words.at):
-            if (f"{w[k]} {w[k + 1]}" in lefts or w[k + 1] in lefts) and text[s].islower() and not free.taken[s] and (not s or text[s - 1] not in "_@#.-/'’" and not text[s - 1].isalnum()):
+            if not text[s].islower():
+                continue
+            a, b = words.left(k)
+            if (f"{a} {b}" in lefts or b in lefts) and not free.taken[s] and (not s or text[s - 1] not in "_@#.-/'’" and not text[s - 1].isalnum()):
                 self._lower(text, words, s, free, out)
         return out
 
@@ -350,6 +373,10 @@ class Finder:
         if any(free.taken[s:e]):
             return
         parts = _parts(text, s, e)
+        if self.asking:
+            for a, b in parts:
+                self._conf(words, _trim_title(text, a, b), b)
+            return
         for a, b in parts:
             a = _trim_title(text, a, b)
             conf = self._conf(words, a, b)
@@ -378,12 +405,89 @@ _LOWER_PART = re.compile(rf"(?:{_PART}|[^\W\d_]\.)(?![\w@_])|,")
 _NOT_NAME = re.compile(r"[^\w\s.,'’\-]|\n")
 
 
+class _Asked:
+    """Stands for the patterns that are not sent out: holds none, notes those asked for that may be among them."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.keys = bits, set()
+
+    def __contains__(self, key: str) -> bool:
+        at = xxhash.xxh64_intdigest(key.encode(), seed=42) % MAP_BITS  # as Spark's xxhash64
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+    def get(self, key: str, default=None):
+        if key in self:
+            self.keys.add(key)
+        return default
+
+
+def _with_own(model: dict[str, dict], own: list[dict] | None) -> dict[str, Mapping]:
+    """The patterns sent out and those of one text."""
+    mine: dict[str, dict] = {k: {} for k in KINDS}
+    for x in own or []:
+        mine[x["kind"]][x["key"]] = x["conf"] if x["kind"] == "name" else x["type"]
+    return {k: ChainMap(mine[k], model[k]) if mine[k] else model[k] for k in KINDS}
+
+
+def _ask(batches: Iterator[pa.RecordBatch], model, maps, places: bool) -> Iterator[pa.RecordBatch]:
+    """``(h, kind, key)``: patterns, of places or of all else, that texts ask for and that may be among those not sent out."""
+    for b in batches:
+        rows = set()
+        own = [None] * b.num_rows if places else b["own"].to_pylist()
+        for h, text, mine in zip(b["h"].to_pylist(), b["text"].to_pylist(), own, strict=True):
+            if places:
+                asked = {"place": _Asked(maps.value["place"])}
+                masked = _masked(text, _masks(text, _Free(len(text))), _MAIL)
+                for m in ADDRESS.finditer(masked):
+                    for k in _place_keys(masked, m.start(), m.end()):
+                        asked["place"].get(k)
+            else:
+                asked = {k: _Asked(maps.value[k]) for k in KINDS[:3]}
+                Finder(*asked.values(), _with_own(model.value, mine)["place"], _Asked(maps.value["left"]), asking=True)(text)
+            rows |= {(h, k, key) for k, a in asked.items() for key in a.keys}
+        h, kind, key = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.string()), pa.array(key, pa.string())], ["h", "kind", "key"])
+
+
+def _map(keys: DataFrame) -> bytes:
+    """A bit for each hash of column ``key``."""
+    at = keys.select(F.pmod(F.xxhash64("key"), F.lit(MAP_BITS)).alias("at"))
+    t = at.groupBy(F.expr("shiftright(at, 3)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    out[t["byte"].to_numpy()] = t["bits"].to_numpy()
+    return out.tobytes()
+
+
+def _own_patterns(rows: DataFrame, rest: DataFrame, shared) -> DataFrame:
+    """``rows`` with ``own``: the patterns of ``rest`` that the row's text asks for, found by joins.
+
+    Which numbers and names a text asks for depends on its addresses, so these come first. Texts are known by a hash; two
+    texts with one hash get the patterns of both, which are all good ones.
+    """
+    spark = rows.sparkSession
+    lefts = rest.where("kind = 'name'").select(F.explode(F.array(*[F.substring_index("key", "|", i) for i in range(1, 6)])).alias("key"))
+    maps = spark.sparkContext.broadcast({k: _map(rest.where(F.col("kind") == k)) for k in KINDS} | {"left": _map(lefts)})
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    gather = lambda d: d.groupBy("h").agg(F.collect_list(F.struct("kind", "key", "conf", "type")).alias("own"))
+    answers = lambda d: cut(d.distinct().join(rest, ["kind", "key"]).select("h", "kind", "key", "conf", "type"))
+    asked = "h long, kind string, key string"
+    first = answers(rows.select("h", "text").mapInArrow(lambda it: _ask(it, shared, maps, True), asked))
+    second = rows.join(gather(first), "h", "left").select("h", "text", "own")
+    second = answers(second.mapInArrow(lambda it: _ask(it, shared, maps, False), asked))
+    return rows.join(gather(first.unionByName(second)), "h", "left").drop("h")
+
+
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    find = Finder(*model.value)
+    base = Finder(*(model.value[k] for k in KINDS))
     for b in batches:
         rows = []
-        for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        owns = b["own"].to_pylist() if "own" in b.schema.names else [None] * b.num_rows
+        for i, text, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), owns, strict=True):
             if text:
+                find = base
+                if own:
+                    both = _with_own(model.value, own)
+                    find = Finder(*both.values(), ChainMap(_lefts({x["key"]: 0 for x in own if x["kind"] == "name"}), base.lefts))
                 rows += [(i, s, e, kind, tokens, need) for s, e, kind, tokens, need in find(text)]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [b["id"].type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
@@ -407,14 +511,27 @@ def find(df: DataFrame, ident: str, text: str, names: DataFrame, name: str = "na
     good, known = _score_names(edges.where("kind = 'name'"), listed)
     numbers, shapes = _score_numbers(edges.where("kind = 'number'"))
     places = edges.where("kind = 'address'").groupBy("pat").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SUPPORT)
-    top = lambda d, by: d.orderBy(F.desc(by), *d.columns).limit(MOST_PATTERNS).collect()
-    model = (
-        {r["pat"]: r["conf"] for r in top(good, "hits")},
-        {r["pat"]: r["type"] for r in top(numbers, "conf")},
-        {r["inst"]: r["type"] for r in top(shapes, "type")},
-        {r["pat"] for r in top(places, "k")},
-    )
+    none, text_type = F.lit(None).cast("double"), F.lit(None).cast("string")
+    parts = [
+        good.select(F.lit("name").alias("kind"), F.col("pat").alias("key"), "conf", text_type.alias("type"), F.col("hits").cast("double").alias("support")),
+        # Of a pattern or shape of both types one counts.
+        numbers.groupBy("pat").agg(F.min_by("type", F.struct("conf", F.col("type") != "phone")).alias("type"), F.max("conf").alias("support")).select(F.lit("number").alias("kind"), F.col("pat").alias("key"), none.alias("conf"), "type", "support"),
+        shapes.groupBy("inst").agg(F.min("type").alias("type")).select(F.lit("shape").alias("kind"), F.col("inst").alias("key"), none.alias("conf"), "type", F.lit(0.0).alias("support")),
+        places.select(F.lit("place").alias("kind"), F.col("pat").alias("key"), none.alias("conf"), text_type.alias("type"), F.col("k").cast("double").alias("support")),
+    ]
+    every = cut(reduce(DataFrame.unionByName, parts))
+    more = {r["kind"] for r in every.groupBy("kind").count().where(F.col("count") > MOST_PATTERNS).collect()}
+    hot = every
+    if more:
+        best = [every.where(F.col("kind") == k).orderBy(F.desc("support"), "key").limit(MOST_PATTERNS) for k in KINDS]
+        hot = cut(reduce(DataFrame.unionByName, best))
+    model: dict[str, dict] = {k: {} for k in KINDS}
+    for r in hot.collect():
+        model[r["kind"]][r["key"]] = r["conf"] if r["kind"] == "name" else r["type"]
     shared = spark.sparkContext.broadcast(model)
+    if more:
+        rest = cut(every.join(hot.select("kind", "key"), ["kind", "key"], "left_anti"))
+        rows = _own_patterns(rows, rest, shared)
     spans = cut(rows.mapInArrow(lambda it: _extract(it, shared), f"id {kind}, s long, e long, kind string, tokens array<string>, need int"))
     sure = spans.where(F.col("tokens").isNull()).select("id", "s", "e", "kind")
     asked = spans.where(F.col("tokens").isNotNull()).select("id", "s", "e", "kind", "need", F.explode("tokens").alias("token"))

@@ -56,3 +56,16 @@ def test_emails_however_spelled():
         assert P.EMAIL.search(f"write to {text}, please").group() == text
     for text in ("rulepack@1.6.5", "Archive@ledger_dw fails", "@@ROWCOUNT", "N'@MeterPhase INT'"):
         assert not P.EMAIL.search(text)
+
+
+def test_patterns_that_are_not_broadcast_are_joined(spark, monkeypatch):
+    docs, _ = corpus()
+    docs += [(1000 + k, f"Fax: {k} Foundry Row stands empty. cell 212 555 01{k:02d} or personal file 936-35-55{k:02d} is wrong") for k in range(5)]
+    docs += [(2000 + k, f"Cell 212 555 01{k:02d} | mail | {GIVEN[k % 6].lower()} {SUR[k % 5].lower()} yesterday and we agreed") for k in range(9)]
+    df = spark.createDataFrame([*docs, docs[0], docs[0]], "doc_id long, text string")
+    names = spark.createDataFrame([(g,) for g in GIVEN], "name string")
+    find = lambda: sorted(tuple(r) for r in P.find(df, "doc_id", "text", names).collect())
+    whole = find()
+    assert {r[3] for r in whole} == {"name", "phone", "email", "id_number", "address"}
+    monkeypatch.setattr(P, "MOST_PATTERNS", 1)
+    assert find() == whole
