@@ -18,6 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +132,14 @@ class _Words:
         return f"{a} {b}|{c} {d}", f"{b}|{c} {d}", f"{a} {b}|{c}"
 
 
+_EDGE = re.compile(rf"^{_PARTICLE}{_S}|{_S}{_PARTICLE}$")
+
+
+def _loose_edge(span: str) -> bool:
+    """Whether a part of a run begins or ends with a particle, or ends with a title."""
+    return _EDGE.search(span) is not None or _RUN_WORD.findall(span)[-1].rstrip(".").lower() in _SKIPPED
+
+
 _PARTS = re.compile(_PART)
 _PARTICLES = set(re.sub(r"[(?:)]", "", _PARTICLE).replace("|", " ").split())
 
@@ -210,10 +219,34 @@ def _masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _runs(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of capitalised words without titles before and number labels within."""
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of capitalised words, lists of persons parted: a comma parts where two name words or more stand on both sides of it."""
+    chain: list[tuple[int, int]] = []
+
+    def parted() -> Iterator[tuple[int, int]]:
+        lo, hi = chain[0][0], chain[-1][1]
+        commas = [c for c in range(lo, hi) if text[c] == ","] if "," in text[lo:hi] else []
+        ends = [lo, *(c + 1 for c in commas), hi]
+        full = [len(_name_tokens(text[a:b])) > 1 for a, b in zip(ends, ends[1:], strict=False)]
+        cuts = [c for c, a, b in zip(commas, full, full[1:], strict=False) if a and b]
+        if not cuts:
+            yield from chain
+            return
+        for a, b in zip([lo, *(c + 1 for c in cuts)], [*cuts, hi], strict=True):
+            yield from (m.span() for m in RUN.finditer(text, a, b))
+
     for m in RUN.finditer(text):
-        s, e = m.start(), m.end()
+        if chain and not _JOINED.fullmatch(text, chain[-1][1], m.start()):
+            yield from parted()
+            chain = []
+        chain.append(m.span())
+    if chain:
+        yield from parted()
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of capitalised words, or persons of a list of them, without titles before and number labels within."""
+    for s, e in _pieces(text):
         for w in _RUN_WORD.finditer(text, s, e):
             if w.group().rstrip(".").lower() in _LABEL_WORDS:
                 e = w.start()
@@ -226,10 +259,11 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
 
 
 _RUN_WORD = re.compile(r"[^\s,]+")
+_JOINED = re.compile(rf"(?:,?{_S}|{_S}{_PARTICLE}{_S})")
 
 
 def _parts(text: str, s: int, e: int) -> list[tuple[int, int]]:
-    """The run and, if a comma or a sentence's first word may have joined it wrongly, what is left without that."""
+    """The run and, as a comma or a word before or after a name may have joined it wrongly, all that it may hold, longest first."""
     out = [(s, e)]
     words = [(m.start(), m.end()) for m in _RUN_WORD.finditer(text, s, e)]
     for i in range(len(words)):
@@ -332,17 +366,17 @@ class Finder:
         self.names, self.numbers, self.shapes, self.places, self.asking = names, numbers, shapes, places, asking
         self.lefts = _lefts(names) if lefts is None else lefts
 
-    def __call__(self, text: str) -> list[tuple[int, int, str, list[str] | None, int]]:
+    def __call__(self, text: str) -> list[tuple[int, int, str, list[str] | None, int, int]]:
         free = _Free(len(text))
         mails = _masks(text, free)
-        out: list[tuple[int, int, str, list[str] | None, int]] = [(s, e, "email", None, 0) for s, e in mails]
+        out: list[tuple[int, int, str, list[str] | None, int, int]] = [(s, e, "email", None, 0, -1) for s, e in mails]
         text, places = _masked(text, mails, _MAIL), []
         for m in ADDRESS.finditer(text):
             keys = _place_keys(text, m.start(), m.end())
             full = _POSTCODE.search(m.group()) is not None or "Box" in m.group()
             if (full or any(k in self.places for k in keys) or _labelled(keys[0], ADDRESS_LABELS)) and free.take(m.start(), m.end()):
                 places.append((m.start(), m.end()))
-                out.append((m.start(), m.end(), "address", None, 0))
+                out.append((m.start(), m.end(), "address", None, 0, -1))
         text = _masked(text, places, _PLACE)
         numbers = list(_numbers(text, free))
         for s, e, shape in numbers:
@@ -352,7 +386,7 @@ class Finder:
             if kind is None or kind == "phone" and "A" in shape:
                 kind = self.shapes.get(shape)
             if kind and free.take(s, e):
-                out.append((s, e, kind, None, 0))
+                out.append((s, e, kind, None, 0, -1))
         text = _masked(text, [x[:2] for x in numbers], _DIGITS)
         words = _Words(text)
         for s, e in list(_runs(text)):
@@ -377,17 +411,17 @@ class Finder:
             for a, b in parts:
                 self._conf(words, _trim_title(text, a, b), b)
             return
-        for a, b in parts:
+        for a, b in parts:  # after a hit, what is left on both sides may hold further persons
             a = _trim_title(text, a, b)
             conf = self._conf(words, a, b)
             if conf and (tokens := _name_tokens(text[a:b])) and free.take(a, b):
-                out.append((a, b, "name", None if conf >= SURE else tokens, 1))
-                return
-        for a, b in parts:
-            tokens = _name_tokens(text[a:b])
-            if len(tokens) > 1 and free.take(a, b):
-                out.append((a, b, "name", tokens, len(tokens)))
-                return
+                out.append((a, b, "name", None if conf >= SURE else tokens, 1, -1))
+        # Which of the other parts are names is for the known tokens to say; they overlap, and the longest ones count.
+        rest = {(_trim_title(text, a, b), b) for a, b in parts}
+        rest = [(a, b, t) for a, b in sorted(rest) if not any(free.taken[a:b]) and not _loose_edge(text[a:b]) and len(t := _name_tokens(text[a:b])) > 1]
+        for a, b, tokens in rest:
+            free.taken[a:b] = b"\x01" * (b - a)
+            out.append((a, b, "name", tokens, len(tokens), s))
 
     def _lower(self, text: str, words: _Words, s: int, free: _Free, out: list) -> None:
         found = [m.span() for m in _LOWER_PART.finditer(text, s, min(len(text), s + 90))][:6]
@@ -397,7 +431,7 @@ class Finder:
                 continue
             tokens = _name_tokens(text[s:e])
             if tokens and free.take(s, e):
-                out.append((s, e, "name", tokens, 1))
+                out.append((s, e, "name", tokens, 1, -1))
                 return
 
 
@@ -479,6 +513,7 @@ def _own_patterns(rows: DataFrame, rest: DataFrame, shared) -> DataFrame:
 
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     base = Finder(*(model.value[k] for k in KINDS))
+    n = TaskContext.get().partitionId() << 40  # numbers the texts: ids may repeat
     for b in batches:
         rows = []
         owns = b["own"].to_pylist() if "own" in b.schema.names else [None] * b.num_rows
@@ -488,10 +523,11 @@ def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
                 if own:
                     both = _with_own(model.value, own)
                     find = Finder(*both.values(), ChainMap(_lefts({x["key"]: 0 for x in own if x["kind"] == "name"}), base.lefts))
-                rows += [(i, s, e, kind, tokens, need) for s, e, kind, tokens, need in find(text)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = [b["id"].type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "s", "e", "kind", "tokens", "need"])
+                n += 1
+                rows += [(i, *x, n) for x in find(text)]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+        kinds = [b["id"].type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "s", "e", "kind", "tokens", "need", "run", "doc"])
 
 
 def find(df: DataFrame, ident: str, text: str, names: DataFrame, name: str = "name") -> DataFrame:
@@ -532,11 +568,16 @@ def find(df: DataFrame, ident: str, text: str, names: DataFrame, name: str = "na
     if more:
         rest = cut(every.join(hot.select("kind", "key"), ["kind", "key"], "left_anti"))
         rows = _own_patterns(rows, rest, shared)
-    spans = cut(rows.mapInArrow(lambda it: _extract(it, shared), f"id {kind}, s long, e long, kind string, tokens array<string>, need int"))
+    spans = cut(rows.mapInArrow(lambda it: _extract(it, shared), f"id {kind}, s long, e long, kind string, tokens array<string>, need int, run long, doc long"))
     sure = spans.where(F.col("tokens").isNull()).select("id", "s", "e", "kind")
-    asked = spans.where(F.col("tokens").isNotNull()).select("id", "s", "e", "kind", "need", F.explode("tokens").alias("token"))
-    proved = asked.join(known, "token", "left_semi").groupBy("id", "s", "e", "kind").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
-    found = sure.unionByName(proved.where(F.col("hits") >= F.col("need")).select("id", "s", "e", "kind"))
+    key = ["id", "doc", "run", "s", "e", "kind"]
+    asked = spans.where(F.col("tokens").isNotNull()).select(*key, "need", F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("k"))
+    proved = asked.join(known, "token", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("hits"), F.least(F.max("need"), F.max("k")).alias("need"))
+    proved = cut(proved.where(F.col("hits") >= F.col("need")))
+    runs = proved.where("run >= 0").groupBy("id", "doc", "run", "kind").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("e")).alias("by"), "s", "e"))).alias("parts"))
+    apart = lambda acc, x: F.when(F.exists(acc, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(x)))
+    runs = runs.select("id", "kind", F.explode(F.aggregate("parts", F.slice("parts", 1, 1), apart)).alias("x"))
+    found = sure.unionByName(proved.where("run < 0").select("id", "s", "e", "kind")).unionByName(runs.select("id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "kind"))
     return found.select("id", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.col("kind").alias("pii_type"))
 
 

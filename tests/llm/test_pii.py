@@ -69,3 +69,20 @@ def test_patterns_that_are_not_broadcast_are_joined(spark, monkeypatch):
     assert {r[3] for r in whole} == {"name", "phone", "email", "id_number", "address"}
     monkeypatch.setattr(P, "MOST_PATTERNS", 1)
     assert find() == whole
+
+
+def test_all_persons_of_a_run(spark):
+    docs, _ = corpus()
+    at = len(docs)
+    a, b, c = "Amara Quenorell", "Bram Mawrovane", "Cormac Nadruvier"
+    runs = [(f"{a}, {b}", [a, b]), (f"{a}, {b}, {c}", [a, b, c]), (f"Kollegin {b}", [b]), (f"{b} Tabelle Zeile", [b]), ("Quenorell, Amara", ["Quenorell, Amara"]), (f"Kollegin Frau {b}", [b]), (f"{b} de Tabelle", [b])]
+    cases = [(f"{x * 2} {x * 3} {t} {x * 4} {x * 5}", w) for x, (t, w) in zip("bcfghjk", runs, strict=True)]  # words around that no other run has
+    cases.append((f"I talked to {a}, {b} yesterday and we agreed.", [a, b]))
+    rows = [*docs, *((at + k, t) for k, (t, _) in enumerate(cases)), (at, cases[0][0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in P.find(df, "doc_id", "text", spark.createDataFrame([(g,) for g in GIVEN], "name string")).collect():
+        if r.id >= at:
+            got.setdefault(r.id - at, []).append(cases[r.id - at][0][r.start_pos : r.end_pos])
+    want = {k: sorted(w) for k, (_, w) in enumerate(cases)} | {0: sorted([a, a, b, b])}  # the first text comes twice
+    assert {k: sorted(v) for k, v in got.items()} == want
