@@ -250,11 +250,17 @@ JOIN_RULES: list[Callable[[DataFrame], DataFrame]] = [
 ]
 
 
-def scan(modules: DataFrame, facts: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+#: What typed rules read of catalog columns.
+COLUMNS = "table_name string, column_name string, declared string, collation string, is_nullable boolean, is_masked boolean, encryption string, is_ansi_padded boolean"
+
+
+def scan(modules: DataFrame, facts: DataFrame | None = None, columns: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Findings of all module rules over ``modules`` (module_id, definition, …) and the rules that failed to build.
 
-    A rule that breaks is left out and named; the others go on. The facts are written once and shared by all rules.
+    A rule that breaks is left out and named; the others go on. The facts are written once and shared by all rules. Without
+    ``columns`` (as ``COLUMNS``) the typed rules are those of variables, parameters and call sites.
     """
+    from plumbline.rules import typed
     from plumbline.session import cut
 
     facts = cut(module_facts(modules)) if facts is None else facts
@@ -264,6 +270,13 @@ def scan(modules: DataFrame, facts: DataFrame | None = None) -> tuple[DataFrame,
             found = found.unionByName(rule(facts))
         except Exception as ex:  # noqa: BLE001 - containment: one rule must not stop the scan
             broken.append(f"{rule.__name__}: {ex}")
+    none = facts.sparkSession.createDataFrame([], COLUMNS)
+    rules = [lambda f: typed.write_findings(f, none), typed.call_findings] if columns is None else [lambda f: typed.typed_scan(f, columns)]
+    for rule in rules:
+        try:
+            found = found.unionByName(rule(facts).distinct())  # a callee installed in several databases counts once
+        except Exception as ex:  # noqa: BLE001 - as above
+            broken.append(f"typed: {ex}")
     if {"is_recompiled", "object_type_code", "is_schema_bound", "uses_database_collation"} <= set(modules.columns):
         found = found.unionByName(compile_flags(facts, modules))
     return found, broken

@@ -9,7 +9,7 @@ from plumbline.functions import types as T
 from plumbline.session import cut
 
 #: Families of typed rules.
-TYPED_RULES = ["verdict/scan-forced", "verdict/range-seek", "verdict/unknown", "verdict/operand-clash", "verdict/collation-conflict", "predicates/oversized-parameter", "predicates/under-length-parameter", "predicates/local-variable-predicate", "predicates/float-equality", "predicates/xml-operand-not-comparable", "predicates/json-operand-not-comparable", "predicates/legacy-lob-operand-not-comparable", "predicates/spatial-operand-not-comparable", "predicates/dynamic-data-masking-predicate-exposure", "predicates/always-encrypted-order-by", "predicates/ansi-padding-mismatch", "correctness/not-null-predicate-contradiction", "call-graph/argument-type-mismatch", "call-graph/sp-executesql-parameter-type-mismatch", *(f"write-loss/{k}" for k in ("unicode-to-non-unicode", "approximate-to-exact-truncation", "numeric-scale-narrowing", "temporal-precision-loss", "length-truncation", "temporal-scale-narrowing", "temporal-offset-dropped"))]
+TYPED_RULES = ["verdict/scan-forced", "verdict/range-seek", "verdict/unknown", "verdict/operand-clash", "verdict/collation-conflict", "predicates/oversized-parameter", "predicates/under-length-parameter", "predicates/local-variable-predicate", "predicates/float-equality", "predicates/xml-operand-not-comparable", "predicates/json-operand-not-comparable", "predicates/legacy-lob-operand-not-comparable", "predicates/spatial-operand-not-comparable", "predicates/dynamic-data-masking-predicate-exposure", "predicates/ansi-padding-mismatch", "correctness/not-null-predicate-contradiction", "call-graph/argument-type-mismatch", *(f"write-loss/{k}" for k in ("unicode-to-non-unicode", "approximate-to-exact-truncation", "numeric-scale-narrowing", "temporal-precision-loss", "length-truncation", "temporal-scale-narrowing", "temporal-offset-dropped"))]
 _KIND = {"xml": "xml", "json": "json", "text": "legacy-lob", "ntext": "legacy-lob", "image": "legacy-lob", "geometry": "spatial", "geography": "spatial"}
 
 

@@ -88,3 +88,15 @@ def test_typed_scan(spark):
     assert {("write-loss/temporal-precision-loss", 2), ("correctness/not-null-predicate-contradiction", 2), ("predicates/xml-operand-not-comparable", 2)} <= hits
     assert ("call-graph/argument-type-mismatch", 3) in hits
     assert not [h for h in hits if h[1] == 4]
+
+
+def test_scan_runs_the_typed_rules_of_variables_and_calls(spark):
+    rows = [
+        (1, "create procedure dbo.callee @p varchar(5) as begin set nocount on; select @p; end"),
+        (2, "create procedure dbo.callee @p varchar(5) as begin set nocount on; select @p; end"),
+        (3, "create procedure dbo.caller @long nvarchar(50) as begin set nocount on; declare @short varchar(10); set @short = @long; exec dbo.callee @p = @long; end"),
+    ]
+    found, broken = engine.scan(spark.createDataFrame(rows, "module_id long, definition string"))
+    assert not broken
+    hits = [(r.rule_id, r.module_id) for r in found.collect() if r.rule_id in typed.TYPED_RULES]
+    assert sorted(hits) == [("call-graph/argument-type-mismatch", 3), ("write-loss/unicode-to-non-unicode", 3)]
