@@ -1,8 +1,10 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
-Keys are laid out on one line in a fixed order. Counting the cells of that line per input partition and summing the
-counts gives every cell its exact first row number; cutting the line every ``chunk`` rows gives chunks of equal size,
-whatever the keys' sizes. Each chunk is aggregated on its own, and the ordered states of keys that a cut divides are merged.
+Keys are laid out on one line in a fixed order, large keys as many small cells. Counting the cells per input partition and
+summing the counts gives every cell its exact first row number; cutting the line every ``chunk`` rows gives chunks that are
+equal to within a sixteenth, whatever the keys' sizes: no cell is larger, unless one id repeats that often, and such rows
+collapse before the shuffle. Rows get their number from their cell, not one by one: a chunk needs only to know its own. Each
+chunk is aggregated on its own, and the ordered states of keys that a cut divides are merged.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from plumbline.session import parallelism, ship
+from plumbline.session import cut, parallelism, ship
 
-#: Most chunks of one run. It bounds the split points that are sent to the executors and the keys treated as heavy.
-MAX_CHUNKS = 4096
+#: Rows of a chunk at most, so chunks grow in number with the data and not in size; their split points are sent to the
+#: executors, 8 bytes for so many rows.
+CHUNK_ROWS = 1 << 24
+#: Cells of a key that is larger than a part of a chunk; such keys, at most so many a chunk, are broadcast.
+PARTS = 16
 _LOW = 0xFFFF
 
 
@@ -36,17 +41,15 @@ def prefix_sums(df: DataFrame, order: str, size: str, out: str, partitions: int)
     Rows are range-partitioned; only one total per partition reaches the driver.
     """
     parted = df.repartitionByRange(partitions, order).withColumn("__pid", F.spark_partition_id())
-    from plumbline.session import cut
-
     parted = cut(parted)
     totals = parted.groupBy("__pid").agg(F.sum(size).alias("t"), F.min(order).alias("lo")).orderBy("lo").collect()
     before, acc = {}, 0
     for r in totals:
         before[r["__pid"]] = acc
         acc += r["t"]
-    base = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]) if before else F.create_map(F.lit(-1), F.lit(0))
+    base = df.sparkSession.createDataFrame(list(before.items()) or [(-1, 0)], "__pid int, __base long")  # one row for each partition
     run = F.sum(size).over(Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return parted.withColumn(out, (F.coalesce(run, F.lit(0)) + base[F.col("__pid")]).cast("long")).drop("__pid")
+    return parted.withColumn("__run", F.coalesce(run, F.lit(0))).join(F.broadcast(base), "__pid").withColumn(out, (F.col("__run") + F.col("__base")).cast("long")).drop("__pid", "__run", "__base")
 
 
 def keyed_stats(df: DataFrame, key: str, ident: str, kind: str, at: str, chunks: int | None = None) -> DataFrame:
@@ -58,22 +61,24 @@ def keyed_stats(df: DataFrame, key: str, ident: str, kind: str, at: str, chunks:
     """
     spark = df.sparkSession
     ship(spark)
+    n_parts = parallelism(spark)
     k, i = F.col(f"`{key}`"), F.col(f"`{ident}`")
     rows = df.select(k.alias("key"), i.alias("id"), F.col(f"`{kind}`").alias("kind"), F.col(f"`{at}`").alias("at"), (F.xxhash64(F.coalesce(k.cast("string"), F.lit("\u0000null"))).bitwiseAND(F.lit(~_LOW))).alias("hkey"))
-    want = min(MAX_CHUNKS, chunks or 8 * parallelism(spark))
 
     # 1. Count keys per input partition (partial aggregates) and sum.
     per_key = rows.groupBy("hkey").agg(F.count(F.lit(1)).alias("n"))
+    per_key = cut(per_key)
     total = per_key.agg(F.sum("n")).first()[0] or 0
+    want = chunks or max(8 * n_parts, math.ceil(total / CHUNK_ROWS))
     chunk = max(1, math.ceil(total / want))
-    # More than `chunk` rows: at most `want` keys. Their rows are spread over cells by ident.
-    heavy = F.broadcast(per_key.where(F.col("n") > chunk).select(F.col("hkey"), F.lit(1).alias("heavy")))
+    # Keys of more than a part of a chunk: at most PARTS for each chunk. Their rows are spread over cells by ident.
+    heavy = F.broadcast(per_key.where(F.col("n") > chunk // PARTS).select(F.col("hkey"), F.lit(1).alias("heavy")))
     spread = F.pmod(F.xxhash64("id"), F.lit(_LOW + 1))
     rows = rows.join(heavy, "hkey", "left").withColumn("cell", F.col("hkey").bitwiseOR(F.when(F.col("heavy") == 1, spread).otherwise(F.lit(0)))).drop("hkey", "heavy")
 
     # 2. Cells, their exact first row numbers, and the cells at which a new chunk begins.
     cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    numbered = prefix_sums(cells, "cell", "n", "start", parallelism(spark))
+    numbered = cut(prefix_sums(cells, "cell", "n", "start", n_parts))
     ends = numbered.groupBy(F.floor(F.col("start") / chunk).alias("c")).agg(F.min("cell").alias("cell"))
     splits = np.array(sorted(r["cell"] for r in ends.select("cell").collect()), dtype=np.int64)  # at most `want` + 1
     hot = [r["cell"] for r in numbered.where(F.col("n") > 2 * chunk).select("cell").collect()]  # fewer than `want` / 2
@@ -87,7 +92,7 @@ def keyed_stats(df: DataFrame, key: str, ident: str, kind: str, at: str, chunks:
 
     # 4. Equal chunks: one task processes whole chunks; ids of a cell never leave its chunk.
     find: Column = _chunk_of(splits)(F.col("cell"))
-    placed = one.withColumn("chunk", find).drop("cell").repartition(parallelism(spark), "chunk")
+    placed = one.withColumn("chunk", find).drop("cell").repartition(max(n_parts, want // 64), "chunk")
     ids = placed.groupBy("chunk", "key", "id", "kind").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     per_id = ids.groupBy("chunk", "key", "id").agg(F.sum("n").alias("n"), F.collect_set("kind").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     states = per_id.groupBy("chunk", "key").agg(F.sum("n").alias("n"), F.count("id").alias("ids"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

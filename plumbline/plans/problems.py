@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.chunked import keyed_stats
 from plumbline.operators.diff import diff
 from plumbline.operators.hierarchy import hierarchy
+from plumbline.session import cut
 from plumbline.sources.tables import table
 
 COPIES = {"cat_indexes": "index_key", "lineage_parity": "parity_key"}
@@ -37,7 +38,7 @@ def p4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-null names with at least 2.5 % of all rows of a findings table."""
-    s = p4_stats(spark, sf_dir)
+    s = cut(p4_stats(spark, sf_dir))  # one row for each name
     totals = s.groupBy("table_name").agg(F.sum("n_rows").alias("total"))
     heavy = s.join(F.broadcast(totals), "table_name").where(F.col("module_qualified_name").isNotNull() & (F.col("n_rows") >= HEAVY_SHARE * F.col("total")))
     return heavy.select("table_name", "module_qualified_name")
