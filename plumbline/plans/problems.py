@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.chunked import keyed_stats
 from plumbline.operators.diff import diff
-from plumbline.operators.hierarchy import hierarchy
+from plumbline.operators.hierarchy import descendants, hierarchy
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -49,15 +49,35 @@ def bare_name(c):
     return F.lower(F.translate(c, "[]", ""))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hierarchy of tables along enabled cascading foreign keys."""
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     fk = table(spark, sf_dir, "foreign_keys", "parent_table_qualified_name", "referenced_table_qualified_name", "delete_action", "is_disabled")
     links = fk.where((F.lower("delete_action") == "cascade") & ~F.coalesce("is_disabled", F.lit(False)))
-    links = links.select(bare_name("parent_table_qualified_name").alias("below"), bare_name("referenced_table_qualified_name").alias("above"))
-    return hierarchy(links, "below", "above").withColumnRenamed("node", "table_name")
+    return links.select(bare_name("parent_table_qualified_name").alias("below"), bare_name("referenced_table_qualified_name").alias("above"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy of tables along enabled cascading foreign keys."""
+    return hierarchy(_links(spark, sf_dir), "below", "above").select(F.col("node").alias("table_name"), "node_kind", "root_name", "depth", "path", "n_descendants")
+
 
+def p5_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table's places in the Euler tour of its tree, and how many parents it has."""
+    return hierarchy(_links(spark, sf_dir), "below", "above").select(F.col("node").alias("table_name"), "tour", "entry", "exit", "cycle", "n_parents")
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_stats": p4_stats, "p5_found": p5_found}
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a table and a table below it, by the interval join of the tours."""
+    return descendants(hierarchy(_links(spark, sf_dir), "below", "above")).select(F.col("node").alias("table_name"), "descendant")
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link, those included that the hierarchy doesn't go up because the table has another parent before them."""
+    links = _links(spark, sf_dir).where(F.col("below").isNotNull() & F.col("above").isNotNull()).distinct()
+    least = links.groupBy("below").agg(F.min("above").alias("least"))
+    return links.join(least, "below").select(F.col("below").alias("table_name"), F.col("above").alias("parent_name"), (F.col("above") == F.col("least")).alias("is_way_up"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_stats": p4_stats, "p5_found": p5_found, "p5_intervals": p5_intervals, "p5_descendants": p5_descendants, "p5_links": p5_links}
 
 _STATS = """SELECT '{t}' AS table_name, module_qualified_name, count(*) AS n_rows, count(DISTINCT finding_id) AS n_findings,
  count(DISTINCT kind) AS n_kinds, min(found_at) AS first_found_at, max(found_at) AS last_found_at FROM {t} GROUP BY module_qualified_name"""
@@ -79,11 +99,13 @@ def _diff_sql(name: str, key: str, columns: list[str]) -> str:
 _CAT = "table_qualified_name name kind is_unique key_columns included_columns key_column_is_descending is_filtered is_clustered is_disabled filter_definition".split()
 _PARITY = "list_name qualified_view_name column_name facet inferred_value actual_value cached_value live_value error_number error_message reason".split()
 
-_P5 = """WITH RECURSIVE l AS (SELECT DISTINCT lower(translate(parent_table_qualified_name, '[]', '')) AS c, lower(translate(referenced_table_qualified_name, '[]', '')) AS p
+_P5_BASE = """WITH RECURSIVE l AS (SELECT DISTINCT lower(translate(parent_table_qualified_name, '[]', '')) AS c, lower(translate(referenced_table_qualified_name, '[]', '')) AS p
  FROM foreign_keys WHERE lower(delete_action) = 'cascade' AND NOT coalesce(is_disabled, false)),
  n AS (SELECT c AS v FROM l UNION SELECT p FROM l),
  up(v, a, d, path) AS (SELECT c, p, 1, [c] FROM l UNION ALL SELECT u.v, l.p, u.d + 1, list_append(u.path, u.a) FROM up u JOIN l ON l.c = u.a WHERE NOT list_contains(u.path, u.a)),
- reach AS (SELECT DISTINCT v, a FROM up),
+ reach AS (SELECT DISTINCT v, a FROM up)"""
+
+_P5 = _P5_BASE + """,
  cyc AS (SELECT v FROM reach WHERE v = a),
  bc AS (SELECT DISTINCT v FROM reach WHERE a IN (SELECT v FROM cyc)),
  top AS (SELECT up.v, up.a AS root, up.d, up.path FROM up WHERE up.a NOT IN (SELECT c FROM l)),
@@ -99,4 +121,6 @@ ORACLE = {
     "p4_stats": " UNION ALL ".join(_STATS.format(t=t) for t in FINDINGS),
     "p4_found": " UNION ALL ".join(_FOUND.format(t=t) for t in FINDINGS),
     "p5_found": _P5,
+    "p5_descendants": _P5_BASE + " SELECT a AS table_name, v AS descendant FROM reach WHERE v <> a",
+    "p5_links": "WITH l AS (SELECT DISTINCT lower(translate(parent_table_qualified_name, '[]', '')) AS c, lower(translate(referenced_table_qualified_name, '[]', '')) AS p FROM foreign_keys WHERE lower(delete_action) = 'cascade' AND NOT coalesce(is_disabled, false)) SELECT c AS table_name, p AS parent_name, p = min(p) OVER (PARTITION BY c) AS is_way_up FROM l WHERE c IS NOT NULL AND p IS NOT NULL",
 }

@@ -1,6 +1,7 @@
 import random
 
-from plumbline.operators.hierarchy import hierarchy
+from plumbline.operators.hierarchy import descendants, hierarchy
+from plumbline.session import cut
 
 
 def brute(links):
@@ -32,7 +33,16 @@ def brute(links):
 
 def run(spark, links):
     df = spark.createDataFrame(links, "c string, p string")
-    return {r.node: (r.node_kind, r.root_name, r.depth, r.path, r.n_descendants) for r in hierarchy(df, "c", "p").collect()}
+    h = cut(hierarchy(df, "c", "p"))
+    pairs = [(r.node, r.descendant) for r in descendants(h).collect()]
+    assert len(pairs) == len(set(pairs))
+    rows = h.collect()
+    for r in rows:
+        below = {d for n, d in pairs if n == r.node}
+        assert len(below) == r.n_descendants
+        if r.node_kind == "tree":
+            assert below == {x.node for x in rows if x.tour == r.tour and r.entry < x.entry and x.exit < r.exit}
+    return {r.node: (r.node_kind, r.root_name, r.depth, r.path, r.n_descendants) for r in rows}
 
 
 def test_forest_cycles_chain_and_star(spark):
@@ -54,3 +64,8 @@ def test_null_ends_empty_and_no_cycles(spark):
 def test_only_cycles(spark):
     links = [("a", "b"), ("b", "a"), ("c", "c")]
     assert run(spark, links) == brute(links)
+
+
+def test_several_parents_are_counted(spark):
+    df = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b"), ("c", "b")], "c string, p string")
+    assert {r.node: r.n_parents for r in hierarchy(df, "c", "p").collect()} == {"a": 0, "b": 1, "c": 2}
