@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.chunked import prefix_sums
 from plumbline.session import cut, parallelism
 
-#: Blocks of the whole mix (its resolution), and most sources of a target list. Both bound what the driver schedules.
-BLOCKS, MOST_SOURCES = 4096, 10_000
+#: Most sources of a target list, least blocks of a mix, and tokens of a block at most once that gives more of them: so
+#: the deviation from the shares stays below a fixed size however large the mix is.
+MOST_SOURCES, BLOCKS, BLOCK_TOKENS = 10_000, 4096, 1 << 26
 
 
 @dataclass
@@ -74,7 +75,7 @@ def schedule(sources: list[Source], block: int) -> int:
     return total
 
 
-def mix(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, blocks: int | None = None, seed: int = 7) -> DataFrame:
     """``(slot, source, doc_id, repeat_no, n_tokens, used_tokens, stream_start)``: the mix, in order of slot and stream_start.
 
     ``sized`` has ``doc_id, source, n_tokens``, ``targets`` ``source, target_share, max_repeats``. The sizes used add up to the
@@ -98,7 +99,8 @@ def mix(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int =
         if r["__i"] is not None and r["__i"] >= 0:
             sources[r["__i"]].tokens = r["t"] or 0
     allocate(sources, total)
-    size = max(1, -(-sum(s.quota for s in sources) // blocks))
+    reached = sum(s.quota for s in sources)
+    size = max(1, -(-reached // (blocks or max(BLOCKS, reached // BLOCK_TOKENS))))  # 10^13 tokens: 150,000 blocks to schedule
     schedule(sources, size)
 
     used = rows.where(F.col("__i") >= 0).withColumn("__o", F.struct("__i", F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "n_tokens"))
@@ -128,7 +130,8 @@ def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     """For each listed source: its target and actual share of the mix, tokens and copies used, and the most uses of one document."""
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("used_tokens").alias("used"))
     per = per_doc.groupBy("source").agg(F.sum("used").alias("used_tokens"), F.sum("uses").alias("n_copies"), F.max("uses").alias("most_uses"))
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
+    listed = targets.select("source").distinct()  # at most MOST_SOURCES; documents come from any number of others
+    have = sized.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     all_used, all_tokens = per.agg(F.sum("used_tokens").alias("mix_tokens")), sized.agg(F.sum("n_tokens").alias("all_tokens"))
     zero = F.lit(0).cast("long")
     out = targets.select("source", "target_share", "max_repeats").join(F.broadcast(per), "source", "left").join(F.broadcast(have), "source", "left")

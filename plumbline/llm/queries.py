@@ -26,9 +26,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each canonical form, with the number of modules it stands for."""
+    """One record for each canonical form, with the number of modules it stands for; a module without a definition is one of its own."""
     c = canonical.copies(_modules(spark, sf_dir), "module_id", "object_name", "definition")
-    return c.where(F.col("id") == F.col("keep_id")).select("keep_id", "n_copies")
+    unknown = table(spark, sf_dir, "live_modules", "module_id", "definition").where(F.col("definition").isNull())
+    return c.where(F.col("id") == F.col("keep_id")).select("keep_id", "n_copies").unionByName(unknown.select(F.col("module_id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies")))
+
+
+def p1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128-bit hashes that stand for more than one canonical form, told by the independent check value; none are expected."""
+    return canonical.collisions(canonical.record_keys(_modules(spark, sf_dir), "module_id", "object_name", "definition"))
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -108,5 +114,5 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(docs, "doc_id", "text", cut(found)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p3_name_groups": p3_name_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_groups": p3_groups, "p3_name_groups": p3_name_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}

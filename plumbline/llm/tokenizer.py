@@ -18,25 +18,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship, spread
+from plumbline.session import cut, ship, spread
 
 #: Where the public vocabulary files lie.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Characters of a leaf, and of a block that one task encodes.
 LEAF, BLOCK = 2048, 1 << 20
+#: Largest vocabulary file that is sent to the executors.
+MOST_BYTES = 1 << 26
 # Fixed value: the pre-tokenizer pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=4)
-def coder(folder: str = FOLDER, vocabulary: str = VOCABULARY):
+def vocabulary_file(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> bytes:
+    """The vocabulary file as it lies in ``folder`` of the driver; executors get these bytes, 1 MB or so, by broadcast."""
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@lru_cache(maxsize=4)
+def coder(data: bytes):
     """The encoder of a vocabulary file, made once in a worker."""
     import tiktoken
 
-    with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _seam(text: str, at: int) -> bool:
@@ -87,9 +98,9 @@ def _drop(ids: np.ndarray, sizes: np.ndarray, n_bytes: int) -> int:
 class Tree:
     """Encodes texts with one vocabulary."""
 
-    def __init__(self, folder: str = FOLDER, vocabulary: str = VOCABULARY, leaf: int = LEAF):
-        self.enc, self.leaf = coder(folder, vocabulary), max(2, leaf)
-        self.sizes = _sizes(folder, vocabulary)
+    def __init__(self, data: bytes, leaf: int = LEAF):
+        self.enc, self.leaf = coder(data), max(2, leaf)
+        self.sizes = _sizes(data)
 
     def join(self, text: str, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Tokens of ``text[lo:hi]`` from those of its two parts."""
@@ -113,18 +124,19 @@ class Tree:
 
 
 @lru_cache(maxsize=4)
-def _sizes(folder: str, vocabulary: str) -> np.ndarray:
-    enc = coder(folder, vocabulary)
+def _sizes(data: bytes) -> np.ndarray:
+    enc = coder(data)
     sizes = np.zeros(enc.max_token_value + 1, dtype=np.int64)
     for token, rank in enc._mergeable_ranks.items():
         sizes[rank] = len(token)
     return sizes
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, leaf: int, count: bool) -> Iterator[pa.RecordBatch]:
-    tree = Tree(folder, vocabulary, leaf)
+def _encoded(batches: Iterator[pa.RecordBatch], data, leaf: int, count: bool) -> Iterator[pa.RecordBatch]:
+    tree = Tree(data.value, leaf)
     none = np.zeros(0, dtype=np.int32)
     for b in batches:
+        keep = [c for c in b.schema.names if c != "text"]
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
             ids = [tree.encode(t) if t else none for t in part["text"].to_pylist()]
@@ -133,49 +145,59 @@ def _encoded(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, le
                 out = pa.array(n)
             else:
                 out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids) if ids else none))
-            yield pa.RecordBatch.from_arrays([part[c] for c in b.schema.names if c != "text"] + [out], [c for c in b.schema.names if c != "text"] + ["ids"])
+            yield pa.RecordBatch.from_arrays([part[c] for c in keep] + [out], [*keep, "ids"])
 
 
-def _joined(folder: str, vocabulary: str, leaf: int):
+def _joined(data, leaf: int):
     def reduce(t: pa.Table) -> pa.Table:
-        """Blocks of one text, neighbours joined level by level."""
-        tree = Tree(folder, vocabulary, leaf)
+        """Blocks of one text, neighbours joined level by level. A text and its ids are one row before and after, so they fit a task."""
+        tree = Tree(data.value, leaf)
         t = t.sort_by("k")
         nodes, at = [], 0
-        text = "".join(t["text"].to_pylist())
-        for part, ids in zip(t["text"].to_pylist(), t["ids"].to_pylist(), strict=True):
+        text = "".join(t["part"].to_pylist())
+        for part, ids in zip(t["part"].to_pylist(), t["ids"].to_pylist(), strict=True):
             nodes.append((at, at + len(part), np.asarray(ids, dtype=np.int32)))
             at += len(part)
         while len(nodes) > 1:
             up = [(a[0], b[1], tree.join(text, a[0], a[1], b[1], a[2], b[2])) for a, b in zip(nodes[::2], nodes[1::2], strict=False)]
             nodes = up + nodes[len(nodes) - len(nodes) % 2 :]
-        return pa.table({"id": t["id"].slice(0, 1), "ids": pa.array([nodes[0][2].tolist()], pa.list_(pa.int32()))})
+        return pa.table({"row": t["row"].slice(0, 1), "ids": pa.array([nodes[0][2].tolist()], pa.list_(pa.int32()))})
 
     return reduce
 
 
+def _over(rows: DataFrame, data: bytes, leaf: int, block: int, count: bool) -> DataFrame:
+    """``rows`` with ``ids`` (or, with ``count``, their number) in place of ``text``.
+
+    Texts of more than ``block`` characters are cut into blocks that are encoded in parallel, whatever their ids are: each
+    such row is numbered, and written once, so that its number stays when a task runs again.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(data)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
+    keep, head = list(kinds), ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    big = F.coalesce(F.length("text"), F.lit(0)) > block
+    out = spread(rows.where(~big)).mapInArrow(lambda it: _encoded(it, sent, leaf, count), f"{head}, ids {'long' if count else 'array<int>'}")
+    large = cut(rows.where(big).withColumn("row", F.monotonically_increasing_id()))
+    parts = large.select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / block).cast("int"))).alias("k"))
+    parts = parts.select("row", "k", F.substring("text", F.col("k") * block + 1, F.lit(block)).alias("text")).repartition("row", "k")
+    done = parts.select("row", "k", F.col("text").alias("part"), "text").mapInArrow(lambda it: _encoded(it, sent, leaf, False), "row long, k int, part string, ids array<int>")
+    joined = done.groupBy("row").applyInArrow(_joined(sent, leaf), "row long, ids array<int>")
+    ids = F.size("ids").cast("long").alias("ids") if count else F.col("ids")
+    return out.unionByName(large.drop("text").join(joined, "row").select(*[F.col(f"`{c}`") for c in keep], ids))
+
+
 def encode(df: DataFrame, ident: str, text: str, folder: str = FOLDER, vocabulary: str = VOCABULARY, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """``(id, ids)`` of each row: the token ids of its text without special tokens.
 
-    Null and empty texts have an empty list. Every row is kept, rows with one id too. Texts of more than ``block``
-    characters are cut into blocks that are encoded in parallel; their ids must be unique among themselves.
+    Null and empty texts have an empty list. Every row is kept and encoded on its own, rows with one id too.
     """
-    ship(df.sparkSession)
-    kind = dict(df.dtypes)[ident]
     rows = df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    big = F.coalesce(F.length("text"), F.lit(0)) > block
-    out = spread(rows.where(~big)).mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, False), f"id {kind}, ids array<int>")
-    parts = rows.where(big).select("id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / block).cast("int"))).alias("k"))
-    parts = parts.select("id", "k", F.substring("text", F.col("k") * block + 1, F.lit(block)).alias("text")).repartition("id", "k")
-    done = parts.select("id", "k", F.col("text").alias("part"), "text").mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, False), f"id {kind}, k int, part string, ids array<int>")
-    joined = done.withColumnRenamed("part", "text").groupBy("id").applyInArrow(_joined(folder, vocabulary, leaf), f"id {kind}, ids array<int>")
-    return out.unionByName(joined)
+    return _over(rows, vocabulary_file(folder, vocabulary), leaf, block, False)
 
 
-def count_tokens(df: DataFrame, text: str, *keep: str, folder: str = FOLDER, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+def count_tokens(df: DataFrame, text: str, *keep: str, folder: str = FOLDER, vocabulary: str = VOCABULARY, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """``keep`` columns and ``ids``: the number of tokens of each text, 0 for null and empty texts."""
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
     rows = df.select(*keep, F.col(f"`{text}`").cast("string").alias("text"))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids long"])
-    return spread(rows).mapInArrow(lambda it: _encoded(it, folder, vocabulary, leaf, True), schema)
+    return _over(rows, vocabulary_file(folder, vocabulary), leaf, block, True)

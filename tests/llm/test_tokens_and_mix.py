@@ -23,27 +23,27 @@ def reference():
 def test_tree_equals_direct_encoding(reference, text):
     ids = reference.encode(text, add_special_tokens=False).ids
     for leaf in (2, 5, 17):
-        tree = T.Tree(leaf=leaf)
+        tree = T.Tree(T.vocabulary_file(), leaf=leaf)
         assert tree.encode(text).tolist() == ids
     assert tree.decode(ids) == text
 
 
 def test_long_runs_and_special_strings(reference):
     for text in ("x" * 9000, " " * 5000 + "a", "<|endoftext|>" * 30, "it's we'll " * 400, "\n" * 777):
-        assert T.Tree(leaf=64).encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+        assert T.Tree(T.vocabulary_file(), leaf=64).encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
 def test_encode_whole_table_and_blocks(spark, reference):
     rng = random.Random(1)
     long = " ".join("".join(rng.choice("abcé '\n") for _ in range(9)) for _ in range(400))
-    rows = [(1, None, "a"), (2, "", "a"), (3, "Hello, world", "a"), (3, "Hello, world", "b"), (4, long, "c"), (5, "y" * 3000, "c")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "Hello, world", "a"), (3, "Hello, world", "b"), (4, long, "c"), (4, long[::-1], "c"), (4, long, "c"), (5, "y" * 3000, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     want = sorted((i, [] if not t else reference.encode(t, add_special_tokens=False).ids) for i, t, _ in rows)
     for block in (1 << 20, 300):
         got = sorted((r.id, list(r.ids)) for r in T.encode(df, "doc_id", "text", leaf=50, block=block).collect())
         assert got == want
-    counts = T.count_tokens(df, "text", "doc_id").collect()
-    assert sorted((r.doc_id, r.ids) for r in counts) == sorted((i, len(x)) for i, x in want)
+        counts = T.count_tokens(df, "text", "doc_id", block=block).collect()
+        assert sorted((r.doc_id, r.ids) for r in counts) == sorted((i, len(x)) for i, x in want)
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
