@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -41,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_columns(df: DataFrame) -> DataFrame:
+    """``cut`` as a Parquet table in the shared folder, for wide rows of which later steps read some columns each."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """``cut`` together with aggregates of the rows, taken while they are written, so that a loop needs one job a round."""
     seen = Observation()
@@ -49,9 +58,9 @@ def cut_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of a cluster once per application; a local session imports it already."""
+    """Send the package to the Python workers once per application, wherever the driver found it."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     here = os.path.dirname(os.path.abspath(__file__))
@@ -75,7 +84,15 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for a pass that costs much more than reading.
 
-    A small file is one partition, and would be one task; inputs with enough partitions are not shuffled.
+    A small file is one partition, and would be one task. Inputs whose files fill the cores at the session's partition size,
+    and inputs that aren't files, are not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg({"length": "sum"}).first()[0] or 0  # lengths only, no content
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    most = int(re.sub(r"\D", "", limit)) << {"k": 10, "m": 20, "g": 30}.get(re.sub(r"[^kmg]", "", limit.lower())[:1], 0)
+    return df if size >= cores * most else df.repartition(cores)
