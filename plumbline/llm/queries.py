@@ -10,9 +10,9 @@ from plumbline.session import cut
 from plumbline.sources.tables import table
 
 RUN_WORDS, DEFINITION_SHARE, NAME_EDITS = 3, 0.5, 3
-#: Signature layout: bands x rows, and the agreeing sketch bytes (of 64) asked of a candidate, four deviations below the mean.
-DEFINITION_SKETCH = {"bands": 64, "rows": 4, "least": 16}
-NAME_SKETCH = {"bands": 54, "rows": 7, "least": 30, "short": 36}
+#: The agreeing sketch bytes (of 64) asked of a candidate are four deviations below the mean at the least similarity.
+DEFINITIONS = neardup.Layout(bands=64, rows=4, least=16)
+NAMES = neardup.NameLayout(bands=54, rows=7, edits=NAME_EDITS)
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +38,13 @@ def p1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = DEFINITION_SKETCH
-    signed = neardup.signed_texts(_modules(spark, sf_dir), "module_id", "definition", RUN_WORDS, d["bands"], d["rows"], name="object_name", extra=canonical.record_key)
-    return signed, neardup.similar_sets(signed, DEFINITION_SHARE, d["least"])
+    signed = neardup.signed_texts(_modules(spark, sf_dir), "module_id", "definition", RUN_WORDS, DEFINITIONS, name="object_name", extra=canonical.record_key)
+    return signed, neardup.similar_sets(signed, DEFINITION_SHARE)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = NAME_SKETCH
     names = table(spark, sf_dir, "duplication_findings", "module_qualified_name").select(F.col("module_qualified_name").alias("name"))
-    return neardup.near_names(names, NAME_EDITS, n["bands"], n["rows"], n["least"], n["short"])
+    return neardup.near_names(names, NAME_EDITS, NAMES)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

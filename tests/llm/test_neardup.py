@@ -62,8 +62,8 @@ def test_pairs_match_brute_force(spark, block):
     """Small blocks force the way of large buckets."""
     rows = docs(random.Random(7))
     df = spark.createDataFrame(rows, "id long, t string")
-    signed = N.signed_texts(df, "id", "t", 3, 64, 4, name="t", extra=lambda n, t: (zlib.crc32(t.encode()), 0, 0))
-    links = N.linked_classes(signed, N.similar_sets(signed, 0.5, 16, block))[1]
+    signed = N.signed_texts(df, "id", "t", 3, N.Layout(64, 4, 16), name="t", extra=lambda n, t: (zlib.crc32(t.encode()), 0, 0))
+    links = N.linked_classes(signed, N.similar_sets(signed, 0.5, block))[1]
     got = {(min(r.p, r.q), max(r.p, r.q)) for r in N.expand(signed, links, piece=2).collect()}
     assert got == brute_pairs(rows, 0.5, key=lambda t: t)
 
@@ -71,20 +71,33 @@ def test_pairs_match_brute_force(spark, block):
 def test_copies_collapse_and_are_not_linked(spark):
     rows = [(i, "one two three four five six") for i in range(50)] + [(60, "one two three four five seven"), (61, "nothing like it at all here")]
     df = spark.createDataFrame(rows, "id long, t string")
-    signed = N.signed_texts(df, "id", "t", 3, 64, 4, name="t", extra=lambda n, t: (len(t), ord(t[-1]), 0))
-    links = N.linked_classes(signed, N.similar_sets(signed, 0.5, 16))[1]
+    signed = N.signed_texts(df, "id", "t", 3, N.Layout(64, 4, 16), name="t", extra=lambda n, t: (len(t), ord(t[-1]), 0))
+    links = N.linked_classes(signed, N.similar_sets(signed, 0.5))[1]
     assert {(r.p, r.q) for r in N.expand(signed, links, piece=8).collect()} in ({(60, i) for i in range(50)}, {(i, 60) for i in range(50)})
 
 
 def test_large_bucket_streams_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        df = spark.range(0, 23).selectExpr("7L as h", "id as s1").unionByName(spark.range(100, 103).selectExpr("9L as h", "id as s1"))
+        df = spark.range(0, 23).selectExpr("7L as h", "id as s1").unionByName(spark.range(100, 103).selectExpr("9L as h", "id as s1")).unionByName(spark.range(200, 202).selectExpr("11L as h", "id as s1"))
         out = df.repartition(1).sortWithinPartitions("h", "s1").mapInArrow(lambda it: N._pairs(it, 4), "a long, b long, h long").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.a for r in out if r.h == 7) == list(range(23))
     assert {(r.a, r.b) for r in out if r.h is None} == {(100, 101), (100, 102), (101, 102)}
+    assert sorted(r.a for r in out if r.h == 11) == [200, 201]  # the last bucket may go on in the next partition
+
+
+def test_name_levels():
+    levels = [Q.NAMES.level(n) for n in range(60)]
+    assert levels == sorted(levels) and levels[0] == 0 and levels[59] == 7
+    assert all(v == 0 or 1 - (1 - Q.NAMES.share(n) ** v) ** 54 >= 0.995 for n, v in enumerate(levels))
+
+
+def test_two_sets_with_one_id_part(spark):
+    rows = [(1, 5, 10), (2, 5, 11), (3, 5, 11), (4, 6, 12)]
+    got = {r.id: r.s1 for r in N._own_ids(spark.createDataFrame(rows, "id long, s1 long, s2 long")).collect()}
+    assert got[1] == 5 and got[4] == 6 and got[2] == got[3] and got[2] not in (5, 6)
 
 
 def test_components(spark):
@@ -116,7 +129,7 @@ def test_names_match_brute_force(spark):
             names.add("".join(t))
             names.add("".join(t).upper())
     df = spark.createDataFrame([(n, "x") for n in sorted(names)] + [(None, "x"), ("dbo.x", "y")], "name string, low string")
-    got = {(r.a, r.b) for r in N.near_names(df, 3, 54, 7, 30, 36).collect()}
+    got = {(r.a, r.b) for r in N.near_names(df, 3, Q.NAMES).collect()}
     want = {(a, b) for a in names for b in names if a < b and distance(a.lower(), b.lower()) <= 3}
     assert got == want
 
