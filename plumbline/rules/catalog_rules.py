@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _COLTYPE = "type string, max_length int, precision int, scale int, collation string, is_max boolean"
 #: The catalog's relations. Names are qualified and in one spelling, types in lower case, lengths in bytes.
 SCHEMAS = {
     "cat_tables": "table_name string, kind string, is_memory_optimized boolean, is_schema_only boolean, is_ledger boolean, is_partitioned boolean, partition_scheme string, partition_column string, has_fulltext boolean, has_rule boolean, filegroup string, is_readonly boolean, is_ms_shipped boolean",
-    "cat_columns": f"table_name string, column_name string, ordinal int, {_COLTYPE}, is_nullable boolean, is_identity boolean, identity_seed double, identity_increment double, identity_current double, is_computed boolean, is_persisted boolean, definition string, encryption string, encryption_key string, is_enclave boolean, is_masked boolean, is_sparse boolean, is_ansi_padded boolean, generated_always string, default_definition string",
+    "cat_columns": f"table_name string, column_name string, ordinal int, {_COLTYPE}, is_nullable boolean, is_identity boolean, identity_seed double, identity_increment double, identity_current double, is_computed boolean, is_persisted boolean, definition string, encryption string, encryption_key string, is_enclave boolean, is_masked boolean, is_sparse boolean, is_ansi_padded boolean, generated_always string, default_definition string, declared string, is_temporal boolean",
     "cat_indexes": "table_name string, name string, kind string, is_unique boolean, key_columns array<string>, included_columns array<string>, key_column_is_descending array<boolean>, is_filtered boolean, is_clustered boolean, is_disabled boolean, is_columnstore boolean, is_hypothetical boolean, is_json boolean, filter_definition string, filter_columns array<string>, partition_scheme string, allow_row_locks boolean, allow_page_locks boolean, optimize_sequential boolean, ignore_dup_key boolean",
     "cat_fks": "constraint_name string, parent_table string, parent_column string, referenced_table string, referenced_column string, is_not_trusted boolean, is_disabled boolean, delete_action string, update_action string",
     "cat_checks": "constraint_name string, table_name string, definition string, is_disabled boolean, is_not_trusted boolean, columns array<string>, null_tested array<string>",
@@ -17,7 +20,7 @@ SCHEMAS = {
     "cat_triggers": "trigger_name string, table_name string, event string, is_after boolean, is_disabled boolean, is_first boolean, is_last boolean",
     "cat_temporal": "current_table string, history_table string",
     "cat_secpred": "policy string, table_name string, kind string, is_enabled boolean, columns array<string>",
-    "cat_types": "type_name string, schema_name string, is_alias boolean",
+    "cat_types": "type_name string, schema_name string, is_alias boolean, is_clr boolean",
     "alter_events": "table_name string, column_name string, old_type string, old_length int, old_precision int, old_scale int, new_type string, new_length int, new_precision int, new_scale int, is_online boolean",
     "rebuild_events": "table_name string, target string, index_name string, is_online boolean, partition int",
     "switch_events": "source_table string, target_table string, partition int",
@@ -96,18 +99,18 @@ CATALOG_RULES: dict[str, str] = {
     "index-design/non-unique-clustered-index": f"select i.table_name as object, i.name as detail from cat_indexes i where i.is_clustered and not i.is_unique and not coalesce(i.is_columnstore, false) and {_ACTIVE}",
     "index-design/heap-with-nonclustered-indexes": "select table_name as object, '' as detail from cat_indexes i where not is_disabled group by table_name having max(cast(is_clustered as int)) = 0 and max(cast(kind = 'PrimaryKey' as int)) = 0",
     "index-design/heap-with-nonclustered-primary-key": "select table_name as object, '' as detail from cat_indexes i where not is_disabled group by table_name having max(cast(is_clustered as int)) = 0 and max(cast(kind = 'PrimaryKey' as int)) = 1",
-    "index-design/random-clustered-key-guid-default": "select i.table_name as object, i.name as detail from cat_indexes i join cat_columns c on c.table_name = i.table_name and c.column_name = i.key_columns[0] where i.is_clustered and c.type = 'uniqueidentifier' and lower(c.default_definition) rlike '\\\\bnewid\\\\s*\\\\('",
+    "index-design/random-clustered-key-guid-default": "select i.table_name as object, i.name as detail from cat_indexes i join cat_columns c on c.table_name = i.table_name and c.column_name = get(i.key_columns, 0) where i.is_clustered and c.type = 'uniqueidentifier' and lower(c.default_definition) rlike '\\\\bnewid\\\\s*\\\\('",
     "index-design/filter-column-not-in-index": f"select i.table_name as object, i.name as detail from cat_indexes i where i.is_filtered and {_ACTIVE} and size(array_except(i.filter_columns, concat(i.key_columns, {_INC.format('i')}))) > 0",
     "index-design/float-or-real-index-key-column": f"select i.table_name as object, concat(i.name, ' ', i.k) as detail from {_KEYCOL} i join cat_columns c on c.table_name = i.table_name and c.column_name = i.k where c.type in ('float','real')",
     "index-design/variable-length-key-column-exceeds-key-limit": f"select i.table_name as object, i.name as detail from {_KEYCOL} i join cat_columns c on c.table_name = i.table_name and c.column_name = i.k group by i.table_name, i.name, i.is_clustered having sum(c.max_length) > if(i.is_clustered, 900, 1700) and max(cast(c.type in ('varchar','nvarchar','varbinary') as int)) = 1",
-    "index-design/monotonic-clustered-key-missing-sequential-optimization": "select i.table_name as object, i.name as detail from cat_indexes i join cat_columns c on c.table_name = i.table_name and c.column_name = i.key_columns[0] where i.is_clustered and c.is_identity and not coalesce(i.optimize_sequential, false)",
+    "index-design/monotonic-clustered-key-missing-sequential-optimization": "select i.table_name as object, i.name as detail from cat_indexes i join cat_columns c on c.table_name = i.table_name and c.column_name = get(i.key_columns, 0) where i.is_clustered and c.is_identity and not coalesce(i.optimize_sequential, false)",
     "index-design/non-aligned-partitioned-index": f"select i.table_name as object, i.name as detail from cat_indexes i join cat_tables t on t.table_name = i.table_name where t.is_partitioned and {_ACTIVE} and (i.partition_scheme is null or i.partition_scheme <> t.partition_scheme)",
     "index-design/row-or-page-locking-disabled": f"select i.table_name as object, i.name as detail from cat_indexes i where {_ACTIVE} and (not i.allow_row_locks or not i.allow_page_locks)",
     "index-design/no-recompute-statistics": "select table_name as object, name as detail from cat_stats where no_recompute",
     "catalog/columnstore-unsupported-column-type": "select i.table_name as object, concat(i.name, ' ', c.column_name) as detail from (select * from cat_indexes lateral view explode(concat(coalesce(key_columns, array()), coalesce(included_columns, array()))) e as k where is_columnstore) i join cat_columns c on c.table_name = i.table_name and c.column_name = i.k where c.type in ('sql_variant','xml','hierarchyid','geometry','geography','ntext','text','image','timestamp','rowversion')",
     "catalog/always-encrypted-non-enclave-key-column": f"select distinct k.table_name as object, concat(k.name, ' ', k.k) as detail from (select table_name, name, k from {_KEYCOL} union all select table_name, name, k from cat_stats lateral view explode(columns) e as k) k join cat_columns c on c.table_name = k.table_name and c.column_name = k.k where upper(c.encryption) = 'RANDOMIZED' and not coalesce(c.is_enclave, false)",
     "catalog/temporal-history-index-gap": "select p.current_table as object, i.name as detail from cat_temporal p join cat_indexes i on i.table_name = p.current_table left anti join cat_indexes h on h.table_name = p.history_table and h.key_columns = i.key_columns where not i.is_clustered and not i.is_disabled",
-    "catalog/rls-predicate-unindexed-column": "select s.table_name as object, s.policy as detail from (select * from cat_secpred lateral view explode(columns) e as k where is_enabled and upper(kind) = 'FILTER') s left anti join cat_indexes i on i.table_name = s.table_name and i.key_columns[0] = s.k and not i.is_disabled",
+    "catalog/rls-predicate-unindexed-column": "select s.table_name as object, s.policy as detail from (select * from cat_secpred lateral view explode(columns) e as k where is_enabled and upper(kind) = 'FILTER') s left anti join cat_indexes i on i.table_name = s.table_name and get(i.key_columns, 0) = s.k and not i.is_disabled",
     "catalog/trigger-firing-order-undefined": "select table_name as object, event as detail from cat_triggers where is_after and not is_disabled group by table_name, event having count(*) >= 2 and count_if(not is_first and not is_last) >= 2",
     # DDL events
     "catalog/alter-column-precision-scale-narrowing": "select concat(table_name, '.', column_name) as object, concat(old_type, ' ', new_type) as detail from alter_events where (old_type in ('decimal','numeric') and new_type in ('decimal','numeric') and (new_precision < old_precision or new_scale < old_scale)) or (old_type in ('money','smallmoney') and new_type in ('decimal','numeric') and new_scale < 4) or (old_type = new_type and old_type in ('time','datetime2','datetimeoffset') and new_scale < old_scale) or (old_type = new_type and old_type in ('char','varchar','nchar','nvarchar','binary','varbinary') and new_length < old_length and new_length <> -1)",
@@ -141,32 +144,38 @@ CATALOG_RULES: dict[str, str] = {
 }
 
 
-def catalog_scan(spark: SparkSession, relations: dict[str, DataFrame], rules: list[str] | None = None) -> DataFrame:
-    """``(rule_id, object, detail)`` of the catalog rules over ``relations``; a relation that is not given is empty.
+def complete(spark: SparkSession, relations: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every relation of ``SCHEMAS``: the given ones in their schema, the others empty.
 
     Columns that a given relation lacks are null (for flags: false), columns it has besides are ignored.
     """
-    prefix = "__plumbline_"
-    names = {}
+    out = {}
     for name, ddl in SCHEMAS.items():
-        empty = spark.createDataFrame([], ddl)
         df = relations.get(name)
-        if df is not None:
-            have = {c.lower() for c in df.columns}
-            cols = []
-            for f in empty.schema:
-                kind = f.dataType.simpleString()
-                c = F.col(f"`{f.name}`").cast(kind) if f.name in have else F.lit(None).cast(kind)
-                cols.append((F.coalesce(c, F.lit(f.name.startswith("allow_") or f.name == "is_ansi_padded")) if kind == "boolean" else c).alias(f.name))
-            empty = df.select(*cols)
-        empty.createOrReplaceTempView(prefix + name)
-        names[name] = prefix + name
-    import re
-
-    word = re.compile(r"\b(" + "|".join(sorted(SCHEMAS, key=len, reverse=True)) + r")\b")
+        schema = StructType.fromDDL(ddl)
+        if df is None:  # known to be empty when the query is planned, so what joins it is pruned
+            out[name] = spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+            continue
+        have = {c.lower() for c in df.columns}
+        cols = []
+        for f in schema:
+            kind = f.dataType.simpleString()
+            c = F.col(f"`{f.name}`").cast(kind) if f.name in have else F.lit(None).cast(kind)
+            cols.append((F.coalesce(c, F.lit(f.name.startswith("allow_") or f.name == "is_ansi_padded")) if kind == "boolean" else c).alias(f.name))
+        out[name] = df.select(*cols)
+    return out
+
+
+_NAMES = re.compile(r"\b(" + "|".join(sorted(SCHEMAS, key=len, reverse=True)) + r")\b")
+
+
+def catalog_scan(spark: SparkSession, relations: dict[str, DataFrame], rules: list[str] | None = None) -> DataFrame:
+    """``(rule_id, object, detail)`` of the catalog rules over ``relations``; a relation that is not given is empty."""
+    frames = complete(spark, relations)
     out = None
     for rule in rules or CATALOG_RULES:
-        sql = word.sub(lambda m: names[m.group()], CATALOG_RULES[rule])
-        found = spark.sql(sql).select(F.lit(rule).alias("rule_id"), F.col("object").cast("string"), F.col("detail").cast("string"))
+        sql = CATALOG_RULES[rule]
+        found = spark.sql(_NAMES.sub(lambda m: "{" + m.group() + "}", sql), **{k: frames[k] for k in set(_NAMES.findall(sql))})
+        found = found.select(F.lit(rule).alias("rule_id"), F.col("object").cast("string"), F.col("detail").cast("string"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.rules.module_rules import FACT_RULES
-from plumbline.session import ship, spread
+from plumbline.session import cut, cut_columns, ship, spread
 
-FACTS = "module_id long, rel string, line int, col int, stmt int, a string, b string, c string, n long, f array<string>"
-_ARROW = pa.schema([("module_id", pa.int64()), ("rel", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("stmt", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("f", pa.list_(pa.string()))])
+FACTS = "module_id long, rel string, line int, col int, stmt int, q int, pq int, a string, b string, c string, n long, f array<string>"
+_ARROW = pa.schema([("module_id", pa.int64()), ("rel", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("stmt", pa.int32()), ("q", pa.int32()), ("pq", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("f", pa.list_(pa.string()))])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,7 +26,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 try:
                     found = facts(text)
                 except Exception as ex:  # noqa: BLE001 - a module that breaks the walk is reported, the others go on
-                    found = [("skipped", 1, 1, 0, type(ex).__name__, "", "", 0, [])]
+                    found = [("skipped", 1, 1, 0, 0, 0, type(ex).__name__, "", "", 0, [])]
                 rows += [(i, *f) for f in found]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, _ARROW, strict=True)], schema=_ARROW)
@@ -39,6 +39,11 @@ def module_facts(modules: DataFrame, ident: str = "module_id", text: str = "defi
     return spread(rows).mapInArrow(_parse, FACTS)
 
 
+def written_facts(modules: DataFrame) -> DataFrame:
+    """``module_facts`` as a table in the shared folder, by relation, so that each rule reads the relations and columns it needs."""
+    return cut_columns(module_facts(modules).sortWithinPartitions("rel", "module_id"))
+
+
 def single_fact_findings(facts: DataFrame) -> DataFrame:
     """Findings of all rules that one fact decides, in one pass over the facts."""
     tests = []
@@ -70,7 +75,8 @@ def missing_nocount(facts: DataFrame) -> DataFrame:
 
 
 def duplicated_literals(facts: DataFrame) -> DataFrame:
-    lits = _rel(facts, "literal").where((F.col("c") == "string") & (F.length("a") > 4))
+    content = F.length(F.regexp_extract("a", r"(?s)^[nN]?'(.*)'$", 1))
+    lits = _rel(facts, "literal").where((F.col("c") == "string") & (content >= 3))
     g = lits.groupBy("module_id", "a").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("line", "col")).alias("p")).where(F.col("k") >= 3)
     return _finding(g.select("module_id", "p.line", "p.col", "a"), "duplication/duplicated-string-literal", "High", F.col("a"))
 
@@ -82,29 +88,37 @@ def unused_labels(facts: DataFrame) -> DataFrame:
 
 def disjoint_unions(facts: DataFrame) -> DataFrame:
     """UNION chains whose branches each fix one column of one table to another literal."""
-    unions = _rel(facts, "query").where(_has("set_op") & ~_has("all") & (F.col("a") == "union")).select("module_id", "stmt", "line", "col")
-    heads = unions.groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("k"), F.min("line").alias("line"), F.min("col").alias("col"))
-    eq = _rel(facts, "pred").where((F.col("b") == "=") & _has("where") & _has("l:column") & _has("r:literal"))
-    eq = eq.groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("a").alias("cols"), F.count_distinct(F.lower("c")).alias("lits"))
-    refs = _rel(facts, "from_ref").groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("r"), F.count_distinct("a").alias("tabs"))
-    j = heads.join(eq, ["module_id", "stmt"]).join(refs, ["module_id", "stmt"])
-    return _finding(j.where("m = k + 1 and cols = 1 and lits = m and r = m and tabs = 1"), "query/union-of-provably-disjoint-branches")
+    unions = _rel(facts, "query").where(_has("set_op")).groupBy("module_id", "q").agg(F.count(F.lit(1)).alias("k"), F.bool_and((F.col("a") == "union") & ~_has("all")).alias("plain"), F.min(F.struct("line", "col")).alias("p")).where("plain")
+    eq = _rel(facts, "pred").where((F.col("b") == "=") & _has("where") & _has("l:column") & _has("r:literal") & ~_has("or") & ~_has("not"))
+    eq = eq.groupBy("module_id", "pq", "q").agg(F.count(F.lit(1)).alias("e"), F.min("a").alias("a"), F.min(F.lower("c")).alias("lit"))
+    refs = _rel(facts, "from_ref").groupBy("module_id", "pq", "q").agg(F.count(F.lit(1)).alias("r"), F.min("a").alias("tab"))
+    both = refs.join(eq, ["module_id", "pq", "q"], "left").groupBy("module_id", "pq").agg(F.count(F.lit(1)).alias("m"), F.bool_and((F.col("r") == 1) & (F.coalesce("e", F.lit(0)) == 1)).alias("one"), F.count_distinct("a").alias("cols"), F.count_distinct("tab").alias("tabs"), F.count_distinct("lit").alias("lits"))
+    j = unions.join(both.withColumnRenamed("pq", "q"), ["module_id", "q"])
+    return _finding(j.where("m = k + 1 and one and cols = 1 and tabs = 1 and lits = m").select("module_id", "p.line", "p.col"), "query/union-of-provably-disjoint-branches")
 
 
 def comma_joins(facts: DataFrame) -> DataFrame:
-    """Comma joins of statements without any predicate between two columns."""
+    """Comma joins of a query without any predicate between two columns."""
     comma = _rel(facts, "from_ref").where(_has("comma"))
-    linked = _rel(facts, "pred").where(_has("l:column") & _has("r:column")).select("module_id", "stmt").distinct()
-    first = comma.join(linked, ["module_id", "stmt"], "left_anti").groupBy("module_id", "stmt").agg(F.min(F.struct("line", "col")).alias("p"))
+    linked = _rel(facts, "pred").where(_has("l:column") & _has("r:column")).select("module_id", "q").distinct()
+    first = comma.join(linked, ["module_id", "q"], "left_anti").groupBy("module_id", "q").agg(F.min(F.struct("line", "col")).alias("p"))
     return _finding(first.select("module_id", "p.line", "p.col"), "join/cartesian-comma-join")
 
 
 def outer_collapse(facts: DataFrame) -> DataFrame:
-    """A null-rejecting top-level WHERE predicate on the outer side of a LEFT JOIN."""
-    right = _rel(facts, "from_ref").where(F.exists("f", lambda x: x.startswith("left"))).select("module_id", "stmt", F.when(F.col("b") != "", F.col("b")).otherwise(F.element_at(F.split("a", "\\."), -1)).alias("alias"))
-    preds = _rel(facts, "pred").where(_has("where") & ~_has("or") & ~_has("not") & F.col("b").isin("=", "<>", "!=", "<", "<=", ">", ">=", "like", "in", "between") & _has("l:column"))
-    preds = preds.withColumn("alias", F.element_at(F.split(F.regexp_replace("a", " ", ""), "\\."), -2 + 0)).where(F.size(F.split("a", "\\.")) >= 2)
-    return _finding(preds.join(right, ["module_id", "stmt", "alias"], "left_semi"), "join/outer-join-predicate-collapse", "High", F.col("a"))
+    """A null-rejecting top-level WHERE conjunct on the side of an outer join that may be padded with nulls.
+
+    That is the table after LEFT or FULL JOIN and every table before RIGHT or FULL JOIN, in the query itself.
+    """
+    refs = _rel(facts, "from_ref").where(~_has("merge_target")).select("module_id", "q", F.when(F.col("b") != "", F.col("b")).otherwise(F.element_at(F.split("a", "\\."), -1)).alias("alias"), F.struct("line", "col").alias("p"), F.element_at("f", 1).alias("how"))
+    own = refs.where(F.col("how").rlike("^(left|full)")).select("module_id", "q", "alias")
+    late = refs.where(F.col("how").rlike("^(right|full)")).groupBy("module_id", "q").agg(F.max("p").alias("last"))
+    before = refs.join(late, ["module_id", "q"]).where(F.col("p") < F.col("last")).select("module_id", "q", "alias")
+    preds = _rel(facts, "pred").where(_has("where") & ~_has("or") & ~_has("not") & F.col("b").isin("=", "<>", "!=", "<", "<=", ">", ">=", "like", "in", "between"))
+    sides = F.array(F.when(_has("l:column"), F.col("a")), F.when(_has("r:column") & ~F.col("b").isin("in", "between", "like"), F.col("c")))
+    cols = preds.select("module_id", "q", "line", "col", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("a")).withColumn("parts", F.split("a", " \\. ")).where(F.size("parts") >= 2)
+    hit = cols.withColumn("alias", F.element_at("parts", -2)).join(own.unionByName(before).distinct(), ["module_id", "q", "alias"], "left_semi")
+    return _finding(hit.dropDuplicates(["module_id", "line", "col"]), "join/outer-join-predicate-collapse", "High", F.col("a"))
 
 
 def scalar_udfs(facts: DataFrame) -> DataFrame:
@@ -158,17 +172,6 @@ def trigger_recursion(facts: DataFrame) -> DataFrame:
     return own.unionByName(_finding(cyc, "trigger/multi-hop-recursion-cycle", "High", F.col("src")))
 
 
-def nested_views(facts: DataFrame) -> DataFrame:
-    """Views and functions two or more layers above base tables, and SELECT * in those above others."""
-    layers = _rel(facts, "module").where("a in ('view','function')").select("module_id", "line", "col", F.col("b").alias("name"))
-    refs = _rel(facts, "from_ref").where("c in ('table','function')").select("module_id", F.col("a").alias("ref")).distinct()
-    edges = layers.join(refs, "module_id").select("name", "ref").join(layers.select(F.col("name").alias("ref")).distinct(), "ref", "left_semi").where("name <> ref")
-    over = edges.select("name").distinct()
-    stars = _rel(facts, "select_item").where("c in ('star','qualified_star')").where(_has("statement") | _has("return")).select("module_id").distinct()
-    deep = layers.join(over, "name", "left_semi")
-    return _finding(deep, "lineage/nested-view-depth", "High", F.col("name")).unionByName(_finding(deep.join(stars, "module_id", "left_semi"), "lineage/select-star-view", "High", F.col("name")))
-
-
 def count_star_checks(facts: DataFrame) -> DataFrame:
     """COUNT(*) put in a variable that the next statement only compares with zero."""
     counts = _rel(facts, "assign").where("b rlike '^(\\\\( select )?count \\\\( \\\\* \\\\)'").select("module_id", F.col("a").alias("v"), "stmt", "line", "col")
@@ -189,8 +192,8 @@ def loop_facts(facts: DataFrame) -> DataFrame:
 
 def having_on_keys(facts: DataFrame) -> DataFrame:
     """HAVING conditions over group keys only."""
-    keys = _rel(facts, "group_item").where("b = 'item'").select("module_id", "stmt", "a").distinct()
-    return _finding(_rel(facts, "pred").where(_has("having") & ~_has("or") & _has("l:column")).join(keys, ["module_id", "stmt", "a"], "left_semi"), "query/non-aggregate-having-predicate", "High", F.col("a"))
+    keys = _rel(facts, "group_item").where("b = 'item'").select("module_id", "q", "a").distinct()
+    return _finding(_rel(facts, "pred").where(_has("having") & ~_has("or") & _has("l:column")).join(keys, ["module_id", "q", "a"], "left_semi"), "query/non-aggregate-having-predicate", "High", F.col("a"))
 
 
 def temp_tables(facts: DataFrame) -> DataFrame:
@@ -198,21 +201,33 @@ def temp_tables(facts: DataFrame) -> DataFrame:
     made = _rel(facts, "stmt").where("a = 'select' and b like '#%'").select("module_id", "b", F.col("stmt").alias("made"))
     indexed = _rel(facts, "stmt").where("a = 'create index' or a = 'create clustered' or a = 'create nonclustered' or a = 'create unique'").select("module_id", F.regexp_extract("c", " on (#+\\w+)", 1).alias("b")).distinct()
     bare = made.join(indexed, ["module_id", "b"], "left_anti")
-    use = _rel(facts, "from_ref").where("c = 'temp'").select("module_id", F.col("a").alias("b"), "stmt", "line", "col", "f").join(bare, ["module_id", "b"]).where("stmt > made")
+    use = _rel(facts, "from_ref").where("c = 'temp'").select("module_id", F.col("a").alias("b"), "stmt", "q", "line", "col", "f").join(bare, ["module_id", "b"]).where("stmt > made")
     joined = use.where(F.exists("f", lambda x: x.endswith("join")))
-    filtered = use.where(~F.exists("f", lambda x: x.endswith("join"))).join(_rel(facts, "pred").where(_has("where")).select("module_id", "stmt").distinct(), ["module_id", "stmt"], "left_semi")
+    filtered = use.where(~F.exists("f", lambda x: x.endswith("join"))).join(_rel(facts, "pred").where(_has("where")).select("module_id", "q").distinct(), ["module_id", "q"], "left_semi")
     return _finding(joined, "temp-table/unindexed-join-operand", "Medium", F.col("b")).unionByName(_finding(filtered, "temp-table/unindexed-where-filter", "Medium", F.col("b")))
 
 
 def group_validity(facts: DataFrame) -> DataFrame:
-    """Columns of select lists that are neither grouped nor aggregated, in statements with one plain GROUP BY."""
-    plain = _rel(facts, "query").where(_has("group")).groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("k")).where("k = 1")
-    one = _rel(facts, "query").where(~_has("set_op")).groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("q")).where("q = 1")
-    keys = _rel(facts, "group_item").where("b = 'item'").select("module_id", "stmt", "a").distinct()
-    odd = _rel(facts, "group_item").where("b = 'sets' and a <> ''").select("module_id", "stmt").distinct()
-    items = _rel(facts, "select_item").where("c = 'column'").withColumn("a", F.regexp_replace("a", " as \\w+$", ""))
-    bad = items.join(plain, ["module_id", "stmt"], "left_semi").join(one, ["module_id", "stmt"], "left_semi").join(odd, ["module_id", "stmt"], "left_anti").join(keys, ["module_id", "stmt", "a"], "left_anti")
-    return _finding(bad, "group-by/invalid-select-list-column", "Medium", F.col("a"))
+    """Columns outside aggregates that a plain GROUP BY doesn't hold, in the select list, HAVING and ORDER BY of its query.
+
+    A clause that repeats a whole group expression is valid, so only columns of clauses whose own columns are no keys count.
+    """
+    bare = lambda c: F.element_at(F.split(F.regexp_replace(c, " ", ""), "\\."), -1)
+    plain = _rel(facts, "query").where(_has("group")).select("module_id", "q").distinct()
+    odd = _rel(facts, "group_item").where("b = 'sets' and a <> ''").select("module_id", "q").distinct()
+    keys = _rel(facts, "group_item").where("b = 'item'").select("module_id", "q", bare("a").alias("k")).distinct()
+    computed = _rel(facts, "group_item").where("b = 'item' and a like '% %' and not a rlike '^[^ ]+( . [^ ]+)+$'").select("module_id", "q").distinct()
+    names = _rel(facts, "select_item").select("module_id", "q", F.substring_index(F.try_element_at(F.filter("f", lambda x: x.startswith("name:")), F.lit(1)), ":", -1).alias("k")).where("k is not null").distinct()
+    items = _rel(facts, "select_item").where("c = 'column'").select("module_id", "q", "line", "col", bare(F.regexp_replace("a", " (as )?[^ .]+$|^[^ ]+ = ", "")).alias("short"), bare("a").alias("whole"))
+    items = items.select("module_id", "q", "line", "col", F.when(F.col("short") == "", F.col("whole")).otherwise(F.col("short")).alias("k"), F.lit("group-by/invalid-select-list-column").alias("rule_id"))
+    having = _rel(facts, "pred").where(_has("having") & _has("l:column")).select("module_id", "q", "line", "col", bare("a").alias("k"), F.lit("group-by/invalid-having-column").alias("rule_id"))
+    order = _rel(facts, "order_item").where(~_has("ordinal") & F.col("a").rlike(r"^[\w#$@]+( \. [\w#$@]+)*$")).select("module_id", "q", "line", "col", bare("a").alias("k"), F.lit("group-by/invalid-order-by-column").alias("rule_id")).join(names, ["module_id", "q", "k"], "left_anti")
+    every = items.unionByName(having).unionByName(order.select(items.columns))
+    bad = every.join(plain, ["module_id", "q"], "left_semi").join(odd, ["module_id", "q"], "left_anti").join(computed, ["module_id", "q"], "left_anti").join(keys, ["module_id", "q", "k"], "left_anti")
+    args = _rel(facts, "call").where("a in ('grouping','grouping_id')").select("module_id", "q", "line", "col", F.explode(F.split("b", " , ")).alias("arg"))
+    wrong = args.select("module_id", "q", "line", "col", bare("arg").alias("k")).join(plain, ["module_id", "q"], "left_semi").join(odd, ["module_id", "q"], "left_anti").join(keys, ["module_id", "q", "k"], "left_anti")
+    found = bad.select("module_id", "rule_id", "line", "col", F.lit("High").alias("confidence"), F.col("k").alias("detail"))
+    return found.unionByName(_finding(wrong, "query/grouping-argument-not-in-group-by-list", "High", F.col("k")))
 
 
 def compile_flags(facts: DataFrame, modules: DataFrame) -> DataFrame:
@@ -241,12 +256,12 @@ def native_modules(facts: DataFrame) -> DataFrame:
 def dangling_calls(facts: DataFrame) -> DataFrame:
     """EXEC of a two-part name that no module of the corpus has."""
     have = _rel(facts, "module").select(F.col("b").alias("a")).distinct()
-    return _finding(_rel(facts, "exec").where("a rlike '^[^.]+[.][^.]+$' and a not like 'sys.%'").join(have, "a", "left_anti"), "catalog/dangling-object-reference", "Low", F.col("a"))
+    return _finding(_rel(facts, "exec").where(~_has("at")).where("a rlike '^[^.]+[.][^.]+$' and a not like 'sys.%'").join(have, "a", "left_anti"), "catalog/dangling-object-reference", "Low", F.col("a"))
 
 
 JOIN_RULES: list[Callable[[DataFrame], DataFrame]] = [
     missing_nocount, duplicated_literals, unused_labels, disjoint_unions, comma_joins, outer_collapse, scalar_udfs, lock_order, trigger_facts, trigger_recursion,
-    nested_views, count_star_checks, loop_facts, having_on_keys, temp_tables, group_validity, native_modules, dangling_calls,
+    count_star_checks, loop_facts, having_on_keys, temp_tables, group_validity, native_modules, dangling_calls,
 ]
 
 
@@ -254,17 +269,23 @@ JOIN_RULES: list[Callable[[DataFrame], DataFrame]] = [
 COLUMNS = "table_name string, column_name string, declared string, collation string, is_nullable boolean, is_masked boolean, encryption string, is_ansi_padded boolean"
 
 
-def scan(modules: DataFrame, facts: DataFrame | None = None, columns: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+def scan(modules: DataFrame, facts: DataFrame | None = None, columns: DataFrame | None = None, catalog: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """Findings of all module rules over ``modules`` (module_id, definition, …) and the rules that failed to build.
 
-    A rule that breaks is left out and named; the others go on. The facts are written once and shared by all rules. Without
-    ``columns`` (as ``COLUMNS``) the typed rules are those of variables, parameters and call sites.
+    A rule that breaks is left out and named; the others go on. The facts are written once and shared by all rules. ``catalog``
+    holds relations as ``catalog_rules.SCHEMAS``; its columns, or ``columns`` (as ``COLUMNS``), serve the typed rules.
+    Without columns the typed rules are those of variables, parameters and call sites, and rules over resolved columns,
+    which could find nothing, are not run.
     """
-    from plumbline.rules import typed
-    from plumbline.session import cut
+    from plumbline.rules import scoped, typed
 
-    facts = cut(module_facts(modules)) if facts is None else facts
+    facts = written_facts(modules) if facts is None else facts
     found, broken = single_fact_findings(facts), []
+    catalog = catalog or {}
+    if columns is None and "cat_columns" in catalog:
+        columns = catalog["cat_columns"].select("table_name", "column_name", "declared", "collation", "is_nullable", "is_masked", "encryption", F.lit(True).alias("is_ansi_padded"))
+    if columns is not None:
+        found = without_harmless_casts(found, facts, columns)
     for rule in JOIN_RULES:
         try:
             found = found.unionByName(rule(facts))
@@ -277,11 +298,30 @@ def scan(modules: DataFrame, facts: DataFrame | None = None, columns: DataFrame
             found = found.unionByName(rule(facts).distinct())  # a callee installed in several databases counts once
         except Exception as ex:  # noqa: BLE001 - as above
             broken.append(f"typed: {ex}")
+    flags = ["uses_quoted_identifier", "uses_ansi_nulls"]
+    compiled = modules.select(F.col("module_id").cast("long").alias("module_id"), *[(F.coalesce(c, F.lit(True)) if c in modules.columns else F.lit(True)).alias(c) for c in flags])
+    named = [r for r, (_, sql) in scoped.SCOPED_RULES.items() if "cat_columns" in catalog or not scoped.NEEDS_COLUMNS.search(sql)]
+    more, failed = scoped.scoped_findings(scoped.Scopes(facts, catalog), compiled, named)
+    broken += failed
+    found = found if more is None else found.unionByName(more)
     if {"is_recompiled", "object_type_code", "is_schema_bound", "uses_database_collation"} <= set(modules.columns):
         found = found.unionByName(compile_flags(facts, modules))
     return found, broken
 
 
+def without_harmless_casts(found: DataFrame, facts: DataFrame, columns: DataFrame) -> DataFrame:
+    """``found`` without casts of columns that a seek sees through: one type, both numeric, or both dates without an offset."""
+    from plumbline.functions import types as T
+    from plumbline.rules import typed
+
+    casts = _rel(facts, "cast").where("get(f, 2) = 'column'").select("module_id", "q", "line", "col", F.col("b").alias("left"), T.parse_type(F.col("a")).alias("to"))
+    known = typed._columns(casts, "left", facts, columns)
+    numeric = [*T.EXACTS, *T.APPROXIMATE]
+    same = (F.col("ctype.name") == F.col("to.name")) | F.col("ctype.name").isin(numeric) & F.col("to.name").isin(numeric) | F.col("ctype.name").isin([d for d in T.DATES if d != "datetimeoffset"]) & F.col("to.name").isin(T.DATES)
+    fine = known.where(~F.col("ctype.name").isin(T.STRINGS + T.BINARIES) & same).select("module_id", "line", "col", F.lit("tier1/cast-or-convert-on-column").alias("rule_id")).distinct()
+    return found.join(fine, ["module_id", "rule_id", "line", "col"], "left_anti").select(found.columns)
+
+
 def ranked(found: DataFrame, least: str = "Low") -> DataFrame:
     """Findings at or above a confidence, with family and a total order: confidence, rule, module, line, column."""
     rank = F.when(F.col("confidence") == "High", 0).when(F.col("confidence") == "Medium", 1).otherwise(2)

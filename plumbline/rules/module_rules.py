@@ -9,7 +9,7 @@ _AGG = "('sum','count','count_big','avg','min','max','stdev','stdevp','var','var
 _DATE_FN = "('year','month','day','datepart','datediff','datediff_big','dateadd','datename')"
 _LEFT_FN = "element_at(filter(f, x -> x like 'l:call:%'), 1)"
 _FILTER = "(array_contains(f,'where') or array_contains(f,'on') or array_contains(f,'having') or array_contains(f,'merge_on'))"
-_LCOL = "exists(f, x -> x like 'lcol:%')"
+_LCOL = "exists(f, x -> x like 'lcol:%') and not array_contains(f,'dead')"
 
 
 def _has(*flags: str) -> str:
@@ -21,11 +21,11 @@ def _fn(names: str) -> str:
 
 
 # Names that the rules list.
-_LEGACY_VIEWS = "('sysobjects','sysindexes','syscolumns','syscomments','sysusers','systypes','sysdepends','sysreferences','sysforeignkeys','sysfilegroups','sysfiles','sysdatabases','sysprocesses','syslogins','sysconstraints','sysindexkeys','sysmembers','syspermissions','sysprotects','sysconfigures','syscurconfigs','sysdevices','syslockinfo','syslocks','sysmessages','sysperfinfo','sysremotelogins','sysservers','sysaltfiles','syscacheobjects','syscharsets','syslanguages','sysopentapes','sysoledbusers','sysfulltextcatalogs')"
-_LEGACY_PROCS = "('sp_addlogin','sp_droplogin','sp_adduser','sp_dropuser','sp_addrole','sp_droprole','sp_addrolemember','sp_droprolemember','sp_grantdbaccess','sp_revokedbaccess','sp_grantlogin','sp_revokelogin','sp_denylogin','sp_addsrvrolemember','sp_dropsrvrolemember','sp_password','sp_defaultdb','sp_defaultlanguage','sp_changeobjectowner','sp_addapprole','sp_dropapprole','sp_approlepassword','sp_changedbowner')"
-_SERIAL = "('object_id','object_name','ident_current','error_number','error_message','error_line','error_severity','error_state','error_procedure','encryptbykey','decryptbykey','encryptbycert','decryptbycert','encryptbypassphrase','decryptbypassphrase','object_schema_name')"
+_LEGACY_VIEWS = "('sysaltfiles','syscacheobjects','syscharsets','syscolumns','syscomments','sysconfigures','sysconstraints','syscurconfigs','sysdatabases','sysdepends','sysdevices','sysfilegroups','sysfiles','sysforeignkeys','sysfulltextcatalogs','sysindexes','sysindexkeys','syslanguages','syslockinfo','syslogins','sysmembers','sysmessages','sysobjects','sysoledbusers','sysopentapes','sysperfinfo','syspermissions','sysprocesses','sysprotects','sysreferences','sysremotelogins','sysservers','systypes','sysusers')"
+_LEGACY_PROCS = "('sp_addapprole','sp_addlogin','sp_addremotelogin','sp_addrole','sp_addrolemember','sp_addserver','sp_addsrvrolemember','sp_adduser','sp_approlepassword','sp_change_users_login','sp_changedbowner','sp_changeobjectowner','sp_dbfixedrolepermission','sp_defaultdb','sp_defaultlanguage','sp_denylogin','sp_dropalias','sp_dropapprole','sp_droplogin','sp_dropremotelogin','sp_droprole','sp_droprolemember','sp_dropsrvrolemember','sp_dropuser','sp_grantdbaccess','sp_grantlogin','sp_helpremotelogin','sp_helprotect','sp_helpuser','sp_password','sp_remoteoption','sp_revokedbaccess','sp_revokelogin','sp_srvrolepermission')"
+_SERIAL = "('error_line','error_message','error_number','error_procedure','error_severity','error_state','ident_current','object_id')"
 _NO_FRAME = "('row_number','rank','dense_rank','ntile','lag','lead','percent_rank','cume_dist','percentile_cont','percentile_disc')"
-_NATIVE_DENIED = "('charindex','patindex','replace','stuff','reverse','left','right','upper','lower','format','parse','try_parse','replicate','str','string_split','openjson','isnumeric','checksum','soundex','difference','quotename','choose','rand')"
+_NATIVE_DENIED = "('app_name','binary_checksum','charindex','checksum','col_name','collationproperty','compress','concat','current_timezone','datalength','db_id','db_name','decompress','file_id','format','formatmessage','has_perms_by_name','hashbytes','ident_current','indexproperty','isdate','isnumeric','lower','object_id','object_name','objectproperty','parsename','patindex','permissions','quotename','replace','reverse','schema_id','schema_name','soundex','stats_date','stdev','stdevp','string_split','stuff','type_name','upper','var','varp')"
 _CRED = "rlike '(?i)(passw|pwd|secret|token|api_?key|credential)'"
 _BENIGN_IP = "rlike '^.?(?:0\\\\.0\\\\.0\\\\.0|127\\\\.|255\\\\.255|169\\\\.254\\\\.169\\\\.254)'"
 _IP = "rlike '(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\\\\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9.])'"
@@ -171,6 +171,25 @@ FACT_RULES: dict[str, tuple[str, str, str]] = {
     "join/cartesian-cross-join": ("from_ref", _has("cross join"), "Low"),
     # triggers
     "trigger/logon-trigger-host-name-gate": ("call", "a = 'host_name' and array_contains(f,'if')", "Medium"),
+    # scopes of one statement
+    "dead-code/redundant-jump": ("stmt", f"a = 'goto' and {_has('to_next')}", "High"),
+    "formatting/if-following-prior-block-end": ("mark", _has("if_after_end"), "High"),
+    "view/order-by-not-guaranteed": ("query", f"array_contains(f,'statement') and {_has('order', 'in_view')} and ((array_contains(f,'top') and not array_contains(f,'top_100_percent')) or array_contains(f,'offset'))", "Medium"),
+    "control-flow/cursor-close-on-commit": ("stmt", "a in ('commit','rollback') and array_contains(f,'on:cursor_close_on_commit') and exists(f, x -> x like 'open:%')", "High"),
+    "control-flow/commit-after-xact-abort-dooms-transaction": ("stmt", f"a = 'commit' and {_has('in_catch', 'on:xact_abort', 'before_try')}", "High"),
+    "control-flow/unresolved-implicit-transaction": ("stmt", f"a = 'end' and {_has('implicit_tran')}", "Medium"),
+    "predicates/openxml-with-clr-type-rejected": ("ddl", f"{_has('with_schema')} and a = 'openxml' and c rlike '^(geometry|geography|hierarchyid)'", "High"),
+    "predicates/openrowset-with-legacy-type-rejected": ("ddl", f"{_has('with_schema')} and a = 'openrowset' and c rlike '^(sql_variant|text|ntext|image)\\\\b'", "High"),
+    "predicates/openrowset-with-clr-type-rejected": ("ddl", f"{_has('with_schema')} and a = 'openrowset' and c rlike '^(geometry|geography|hierarchyid)'", "High"),
+    "predicates/openrowset-with-xml-rejected": ("ddl", f"{_has('with_schema')} and a = 'openrowset' and c rlike '^xml'", "High"),
+    "predicates/external-table-unsupported-column-type": ("ddl", f"{_has('column', 'external')} and c rlike '^(sql_variant|xml|hierarchyid|geometry|geography|text|ntext|image|timestamp|rowversion|json|vector)\\\\b'", "High"),
+    "predicates/legacy-lob-conversion-target": ("cast", "a rlike '^(text|ntext)collate.*_(utf8|sc)(_|$)'", "High"),
+    "predicates/xml-schema-collection-notation-type": ("ddl", f"{_has('xml_schema')} and c rlike '(type|base|itemType|memberTypes) *= *[\"\\\\x27]([^\"]* )?(\\\\w+:)?NOTATION[\"\\\\x27]'", "High"),
+    "predicates/xml-schema-collection-id-idref-type": ("ddl", f"{_has('xml_schema')} and c rlike '(type|base|itemType|memberTypes) *= *[\"\\\\x27]([^\"]* )?(\\\\w+:)?(ID|IDREF|IDREFS)[\"\\\\x27]'", "High"),
+    "naming/redundant-type-qualifier": ("var|param", "b rlike '^\\\\[?dbo\\\\]?\\\\.' or b rlike '^dbo\\\\.'", "Medium"),
+    "forced-parameterization/dml-output-list-literal": ("literal", "b = 'output'", "Low"),
+    "forced-parameterization/constant-foldable-expression-literal": ("pred", "b in ('=','<>','!=','<','<=','>','>=') and array_contains(f,'l:column') and array_contains(f,'r:arith') and c rlike '^[0-9.]+( [-+*/%] [0-9.]+)+$'", "Low"),
+    "string-builtin/replace-truncated": ("call", "a = 'replace' and n = 3 and array_contains(f,'arg0:literal') and c rlike \"^n?'\" and length(c) - 2 - cast(c like 'n%' as int) > if(c like 'n%', 4000, 8000)", "High"),
     # statements that fail
     "graph/pseudo-column-assignment": ("assign", _has("pseudo"), "High"),
     "restore/option-conflict": ("stmt", "a = 'restore' and size(array_intersect(split(c, '[ ,()]+'), array('recovery','norecovery','standby'))) >= 2", "High"),

@@ -29,11 +29,11 @@ def variables(facts: DataFrame) -> DataFrame:
 
 def scopes(facts: DataFrame) -> DataFrame:
     """``(module_id, stmt, alias, table_name, outer_side, alone)``: what names a statement's columns may be qualified with."""
-    refs = _rel(facts, "from_ref").where("c = 'table'").select("module_id", "stmt", F.when(F.col("b") != "", F.col("b")).otherwise(F.element_at(F.split("a", "\\."), -1)).alias("alias"), F.col("a").alias("table_name"), F.exists("f", lambda x: x.rlike("^(left|full)")).alias("outer_side"))
-    dml = _rel(facts, "stmt").where("a = 'dml' and c in ('update','delete')").select("module_id", "stmt", F.element_at(F.split("b", "\\."), -1).alias("alias"), F.col("b").alias("table_name"), F.lit(False).alias("outer_side"))
-    every = refs.unionByName(dml.join(refs.select("module_id", "stmt").distinct(), ["module_id", "stmt"], "left_anti"))
-    count = every.groupBy("module_id", "stmt").agg(F.count(F.lit(1)).alias("k"))
-    return every.join(count, ["module_id", "stmt"]).withColumn("alone", F.col("k") == 1).drop("k")
+    refs = _rel(facts, "from_ref").where("c = 'table'").select("module_id", "q", F.when(F.col("b") != "", F.col("b")).otherwise(F.element_at(F.split("a", "\\."), -1)).alias("alias"), F.col("a").alias("table_name"), F.exists("f", lambda x: x.rlike("^(left|full)")).alias("outer_side"))
+    dml = _rel(facts, "stmt").where("a = 'dml' and c in ('update','delete')").select("module_id", "q", F.element_at(F.split("b", "\\."), -1).alias("alias"), F.col("b").alias("table_name"), F.lit(False).alias("outer_side"))
+    every = refs.unionByName(dml.join(refs.select("module_id", "q").distinct(), ["module_id", "q"], "left_anti"))
+    count = every.groupBy("module_id", "q").agg(F.count(F.lit(1)).alias("k"))
+    return every.join(count, ["module_id", "q"]).withColumn("alone", F.col("k") == 1).drop("k")
 
 
 def _columns(uses: DataFrame, ref: str, facts: DataFrame, columns: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def _columns(uses: DataFrame, ref: str, facts: DataFrame, columns: DataFrame) ->
     parts = F.split(F.regexp_replace(F.col(ref), " ", ""), "\\.")
     q = uses.withColumn("cname", F.element_at(parts, -1)).withColumn("__q", F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))))
     s = scopes(facts)
-    named = q.where(F.col("__q").isNotNull()).join(s.withColumnRenamed("alias", "__q"), ["module_id", "stmt", "__q"])
-    bare = q.where(F.col("__q").isNull()).join(s.where("alone").drop("alias"), ["module_id", "stmt"])
+    named = q.where(F.col("__q").isNotNull()).join(s.withColumnRenamed("alias", "__q"), ["module_id", "q", "__q"])
+    bare = q.where(F.col("__q").isNull()).join(s.where("alone").drop("alias"), ["module_id", "q"])
     return named.unionByName(bare).drop("__q", "alone").join(cat, ["table_name", "cname"])
 
 
@@ -57,16 +57,16 @@ def typed_predicates(facts: DataFrame, columns: DataFrame) -> DataFrame:
     """Each comparison of a catalog column with a variable, literal or another column: ``ctype``, ``otype``, ``verdict``."""
     pred = _rel(facts, "pred").where(F.col("b").isin("=", "<>", "!=", "<", "<=", ">", ">=", "like", "is"))
     lk, rk = _flag("l:"), _flag("r:")
-    base = pred.select("module_id", "stmt", "line", "col", F.col("a").alias("left"), F.col("b").alias("op"), F.col("c").alias("right"), lk.alias("lk"), rk.alias("rk"), F.array_contains("f", "negated").alias("negated"))
-    flipped = base.where("rk = 'column'").select("module_id", "stmt", "line", "col", F.col("right").alias("left"), "op", F.col("left").alias("right"), F.col("rk").alias("lk"), F.col("lk").alias("rk"), "negated")
+    base = pred.select("module_id", "q", "line", "col", F.col("a").alias("left"), F.col("b").alias("op"), F.col("c").alias("right"), lk.alias("lk"), rk.alias("rk"), F.array_contains("f", "negated").alias("negated"))
+    flipped = base.where("rk = 'column'").select("module_id", "q", "line", "col", F.col("right").alias("left"), "op", F.col("left").alias("right"), F.col("rk").alias("lk"), F.col("lk").alias("rk"), "negated")
     sides = base.where("lk = 'column'").unionByName(flipped)
     mine = _columns(sides, "left", facts, columns)
     var = mine.where("rk = 'var'").join(variables(facts).withColumnRenamed("var", "right"), ["module_id", "right"], "left")
-    keep = ["module_id", "stmt", "line", "col", "left", "op", "right", "lk", "rk", "negated", "ctype", "is_nullable", "is_masked", "is_encrypted", "is_ansi_padded", "outer_side"]
+    keep = ["module_id", "q", "line", "col", "left", "op", "right", "lk", "rk", "negated", "ctype", "is_nullable", "is_masked", "is_encrypted", "is_ansi_padded", "outer_side"]
     every = var.select(*keep, F.col("vtype").alias("otype"), "is_param").unionByName(mine.where("rk in ('literal','null')").select(*keep, F.when(F.col("rk") == "literal", T.literal_type(F.col("right"))).alias("otype"), F.lit(None).cast("boolean").alias("is_param")))
     other = mine.where("rk = 'column'").select(*keep).drop("outer_side")
     theirs = _columns(other.withColumnsRenamed({"ctype": "c1", "is_nullable": "n1", "is_masked": "m1", "is_encrypted": "e1", "is_ansi_padded": "p1"}), "right", facts, columns)
-    pairs = theirs.select("module_id", "stmt", "line", "col", "left", "op", "right", "lk", "rk", "negated", F.col("c1").alias("ctype"), F.col("n1").alias("is_nullable"), F.col("m1").alias("is_masked"), F.col("e1").alias("is_encrypted"), F.col("p1").alias("is_ansi_padded"), "outer_side", F.col("ctype").alias("otype"), F.lit(None).cast("boolean").alias("is_param"))
+    pairs = theirs.select("module_id", "q", "line", "col", "left", "op", "right", "lk", "rk", "negated", F.col("c1").alias("ctype"), F.col("n1").alias("is_nullable"), F.col("m1").alias("is_masked"), F.col("e1").alias("is_encrypted"), F.col("p1").alias("is_ansi_padded"), "outer_side", F.col("ctype").alias("otype"), F.lit(None).cast("boolean").alias("is_param"))
     done = every.unionByName(pairs).withColumn("is_literal", F.col("rk").isin("literal", "null"))
     return T.verdicts(done, "ctype", "otype", "is_literal", "op")
 
@@ -96,11 +96,11 @@ def predicate_findings(typed: DataFrame) -> DataFrame:
 def write_findings(facts: DataFrame, columns: DataFrame) -> DataFrame:
     """Findings of assignments that may lose data: variables and updated columns, from variables, literals and columns."""
     src = _flag("src:")
-    assign = _rel(facts, "assign").select("module_id", "stmt", "line", "col", F.col("a").alias("left"), F.lit("=").alias("op"), F.col("b").alias("right"), F.array_contains("f", "var").alias("to_var"), src.alias("sk"))
+    assign = _rel(facts, "assign").select("module_id", "q", "line", "col", F.col("a").alias("left"), F.lit("=").alias("op"), F.col("b").alias("right"), F.array_contains("f", "var").alias("to_var"), src.alias("sk"))
     v = variables(facts)
     to_var = assign.where("to_var").join(v.select("module_id", F.col("var").alias("left"), F.col("vtype").alias("target")), ["module_id", "left"])
     to_col = _columns(assign.where("not to_var"), "left", facts, columns).withColumnRenamed("ctype", "target")
-    cols = ["module_id", "stmt", "line", "col", "left", "op", "right", "to_var", "sk", "target"]
+    cols = ["module_id", "q", "line", "col", "left", "op", "right", "to_var", "sk", "target"]
     every = to_var.select(*cols).unionByName(to_col.select(*cols))
     lit = every.where("sk = 'literal'").withColumn("source", T.literal_type(F.col("right")))
     var = every.where("sk = 'var'").join(v.select("module_id", F.col("var").alias("right"), F.col("vtype").alias("source")), ["module_id", "right"])

@@ -1,7 +1,7 @@
 """Facts about a T-SQL module: one walk over its tokens, one flat row for each thing that rules ask about.
 
-A fact is ``(rel, line, col, stmt, a, b, c, n, f)``: the relation's name, the place, the statement's number within the module,
-up to three texts, a number and flags. ``RELATIONS`` lists the relations. What can't be read becomes a ``skipped`` fact.
+A fact is ``(rel, line, col, stmt, q, pq, a, b, c, n, f)``: the relation's name, the place, the numbers, within the module, of
+the statement, of the query it stands in and of the query around that one (0: none), up to three texts, a number and flags. ``RELATIONS`` lists the relations. What can't be read becomes a ``skipped`` fact.
 """
 
 from __future__ import annotations
@@ -40,6 +40,13 @@ RELATIONS = {
     "case": "CASE: input, number of WHEN",
     "op": "operator token",
     "global": "@@ value",
+    "col": "mention of a column: name as written, region",
+    "scope": "query within a query: n is the outer one, c how many levels out",
+    "assign_col": "column that INSERT names or fills: name, literal or source kind; place",
+    "fetch": "FETCH: cursor, number of variables",
+    "state": "what holds at a statement: SET options on, transaction open before TRY, open cursors",
+    "ddl": "what a CREATE or ALTER of a table, index, type or the like declares: see ddl.py",
+    "concat": "chain of + : its operands",
     "skipped": "what could not be read: reason",
 }
 
@@ -61,8 +68,15 @@ class Walk:
         self.t, self.comments = tokens(sql)
         self.out: list[tuple] = []
         self.n_stmt = 0
+        self.q = self.pq = self.n_q = 0
+        self.outer: list[int] = []
+        self.sub_q: dict[int, int] = {}
+        self.on: dict[str, int] = {}
+        self.cursors: dict[str, int] = {}
+        self.open_cursors: set[str] = set()
         self.match = self._brackets()
-        self.loop = self.tries = self.catches = self.trans = 0
+        self.loop = self.tries = self.catches = self.trans = self.trans_at_try = self.try_id = 0
+        self.implicit, self.kind, self.inline = False, "", False
         self.uses: Counter[str] = Counter()
         self.writes: Counter[str] = Counter()
         self.declared: dict[str, Token] = {}
@@ -81,7 +95,24 @@ class Walk:
 
     def add(self, rel: str, at: int, a: str = "", b: str = "", c: str = "", n: int = 0, f=()) -> None:
         t = self.t[min(at, len(self.t) - 1)] if self.t else Token("", "", "", 0, 1, 1)
-        self.out.append((rel, t.line, t.col, self.n_stmt, a, b, c, n, list(f)))
+        self.out.append((rel, t.line, t.col, self.n_stmt, self.q, self.pq, a, b, c, n, list(f)))
+
+    def enter(self) -> tuple[int, int]:
+        """Begin a query within the present one; returns what ``leave`` goes back to."""
+        back = (self.q, self.pq)
+        if self.q:
+            self.outer.append(self.q)
+        self.n_q += 1
+        self.q, self.pq = self.n_q, self.outer[-1] if self.outer else 0
+        t = self.t[0]
+        for level, x in enumerate([self.q, *reversed(self.outer)]):
+            self.out.append(("scope", t.line, t.col, self.n_stmt, self.q, self.pq, "", "", str(level), x, []))
+        return back
+
+    def leave(self, back: tuple[int, int]) -> None:
+        if back[0]:
+            self.outer.pop()
+        self.q, self.pq = back
 
     def low(self, i: int) -> str:
         return self.t[i].low if 0 <= i < len(self.t) and self.t[i].kind != "string" else ""
@@ -195,6 +226,11 @@ class Walk:
                 self.add("op", i, t.text)
             elif t.kind == "word" and w == "case":
                 self.case(i, e, region)
+            elif t.kind in ("word", "quoted") and (t.kind == "quoted" or w not in _NOT_CALLS and w not in _TYPES or i + 1 < e and self.t[i + 1].text == "."):
+                parts, j = self.name(i, e)
+                if not (j < e and self.t[j].text in ("(", "::")) and self.low(i - 1) not in ("as", "collate") and self.t[i - 1].text != "::":
+                    self.add("col", i, ".".join(parts), region)
+                i = max(i, j - 1)
             elif w in ("not", "-", "~") and i + 1 < e and self.low(i + 1) == w:
                 self.add("op", i, f"{w} {w}", f=["repeated"])
             elif w == "not" and i + 1 < e and self.t[i + 1].text == "(" and self.low(i + 2) != "select":
@@ -204,9 +240,10 @@ class Walk:
                     self.add("op", i, "not", self.low(k), f=["negated"])
             elif t.text == "(" and i + 1 < e:
                 if self.low(i + 1) in ("select", "with") and self.t[i + 1].kind == "word":
+                    self.sub_q[i] = self.n_q + 1
                     self.query(i + 1, min(self.match.get(i, e), e), "subquery")
                     i = min(self.match.get(i, e), e)
-                elif i > s and t.text == "(" and self.t[i - 1].kind in ("word", "quoted") and (self.t[i - 1].kind == "quoted" or self.low(i - 1) not in _NOT_CALLS):
+                elif i > s and t.text == "(" and self.t[i - 1].kind in ("word", "quoted") and (self.t[i - 1].kind == "quoted" or self.low(i - 1) not in _NOT_CALLS or self.low(i - 1) == "update" and region == "if"):
                     self.call(i, min(self.match.get(i, e), e), region)
                 elif self.match.get(i, 0) - i == 2:
                     self.add("op", i, "( )", f=["redundant_parens"])
@@ -274,8 +311,26 @@ class Walk:
             flags.append("some_same")
         self.add("case", i, self.text(i + 1, first) if simple else "", region, n=whens, f=flags)
 
+    def truth(self, s: int, e: int) -> bool | None:
+        """Whether a comparison of two literals holds; None if it is anything else."""
+        while e - s > 1 and self.t[s].text == "(" and self.match.get(s) == e - 1:
+            s, e = s + 1, e - 1
+        if e - s != 3 or self.t[s].kind != self.t[s + 2].kind or self.t[s].kind not in ("number", "string"):
+            return None
+        x, y = self.t[s].text, self.t[s + 2].text
+        if self.t[s].kind == "number":
+            try:
+                x, y = float(x), float(y)
+            except ValueError:
+                return None
+        elif self.t[s + 1].text not in ("=", "<>", "!="):
+            return None
+        else:
+            x, y = x.lstrip("nN").lower(), y.lstrip("nN").lower()
+        return {"=": x == y, "<>": x != y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}.get(self.t[s + 1].text)
+
     def condition(self, s: int, e: int, region: str, top: bool = True) -> None:
-        """Comparisons of a condition; top-level conjuncts are flagged."""
+        """Comparisons of a condition; top-level conjuncts are flagged, and leaves that can't decide anything are dead."""
         if top:
             self.expression(s, e, region)
         while e - s > 1 and self.t[s].text == "(" and self.match.get(s) == e - 1 and self.low(s + 1) != "select":
@@ -307,8 +362,18 @@ class Walk:
                             self.add("pred", s, x[0], "catch_all", x[2], f=[region, "catch_all"])
             elif "or" not in ops:
                 self.bounds(s, [x for x in shapes if x], region)
-            for a, b in leaves:
-                self.condition(a, b, region if "or" not in ops else f"{region}|or", False)
+            groups, at = [[leaves[0]]], 0  # AND binds tighter than OR
+            for leaf, o in zip(leaves[1:], ops, strict=True):
+                if o == "or":
+                    groups.append([])
+                groups[-1].append(leaf)
+            fails = [any(self.truth(*x) is False for x in g) for g in groups]
+            holds = [all(self.truth(*x) is True for x in g) for g in groups]
+            for g, fail in zip(groups, fails, strict=True):
+                dead = fail or any(holds)
+                for a, b in g:
+                    mark = region if "or" not in ops else f"{region}|or"
+                    self.condition(a, b, f"{mark}|dead" if dead and self.truth(a, b) is None and "dead" not in mark else mark, False)
             return
         while self.low(s) == "not" and s < e and self.low(s + 1) != "exists":
             s, region = s + 1, f"{region}|not"
@@ -335,6 +400,8 @@ class Walk:
             flags += ["leading_wildcard"] if lit[:1] in ("%", "_", "[") and lit != "%" else []
             flags += [] if re.search(r"[%_\[]", lit) else ["no_wildcard"]
             flags += ["trailing_space"] if lit.endswith(" ") else []
+        if rk == "query" and self.t[right].text == "(":
+            flags.append(f"sub:{self.sub_q.get(right, 0)}")
         if lk == rk == "literal" and op in ("=", "<>", "<", ">", "<=", ">="):
             flags.append("literals")
         self.add("pred", s, lt, op, rt, n=left_end - s, f=flags)
@@ -366,7 +433,7 @@ class Walk:
 
     def query(self, s: int, e: int, role: str) -> None:
         """A query expression: CTEs, set operations, and each SELECT with its clauses."""
-        i = s
+        i, branch = s, 0
         if self.low(i) == "with":
             i = self.ctes(i + 1, e)
         while i < e and self.low(i) in ("select", "(", ""):
@@ -375,7 +442,8 @@ class Walk:
                 i = self.skip(i)
             elif self.low(i) == "select":
                 j = self.find(i + 1, e, {"union", "except", "intersect"})
-                self.select(i, j, role)
+                self.select(i, j, role, branch)
+                branch += 1
                 i = j
             else:
                 return
@@ -397,6 +465,7 @@ class Walk:
                 return i
             lo, hi = i + 2, min(self.match.get(i + 1, e), e)
             found.append((name, at, lo, hi))
+            self.add("cte_body", at, name, n=self.n_q + 1)
             self.query(lo, hi, "cte")
             i = hi + 1
             if i >= e or self.t[i].text != ",":
@@ -408,8 +477,13 @@ class Walk:
             self.add("cte", at, name, n=refs, f=["recursive"] if inside else [])
         return i
 
-    def select(self, s: int, e: int, role: str) -> None:
-        i, flags = s + 1, [role]
+    def select(self, s: int, e: int, role: str, branch: int = 0) -> None:
+        back = self.enter()
+        self._select(s, e, role, branch)
+        self.leave(back)
+
+    def _select(self, s: int, e: int, role: str, branch: int) -> None:
+        i, flags = s + 1, [role, f"branch:{branch}"]
         if self.low(i) in ("distinct", "all"):
             flags += ["distinct"] if self.low(i) == "distinct" else []
             i += 1
@@ -435,7 +509,7 @@ class Walk:
         ends = dict(zip(marks, [*marks[1:], e], strict=False))
         items = self.split(i, marks[0] if marks else e)
         star = False
-        for a, b in items:
+        for k_item, (a, b) in enumerate(items):
             if a >= b:
                 continue
             txt = self.text(a, b)
@@ -449,7 +523,11 @@ class Walk:
                 self.writes[self.low(a)] += 1
                 self.add("assign", a, self.low(a), self.text(a + 2, b), "select", f=["var"])
                 flags.append("assigns")
-            self.add("select_item", a, txt, alias, kind, f=[role])
+            lo, hi, name = self._named(a, b)
+            if lo != a or hi != b:
+                kind = self.operand(lo, hi) if not star else kind
+            self.add("select_item", a, txt, alias, kind, n=k_item, f=[role, f"branch:{branch}", *([f"name:{name}"] if name else [])])
+            self.chain(lo, hi, "select")
             self.expression(a, b, "select")
         for m, end in ends.items():
             w = self.low(m)
@@ -474,7 +552,32 @@ class Walk:
                 self.expression(m + 1, end, "paging")
             elif w == "for":
                 self.add("query", m, self.text(m, end), f=["for"])
-        self.add("query", s, f=[*flags, *(["star"] if star else [])], n=len(items))
+        self.add("query", s, f=[*flags, *(["star"] if star else []), *(["in_view"] if self.kind == "view" or self.inline else [])], n=len(items))
+
+    def _named(self, a: int, b: int) -> tuple[int, int, str]:
+        """The range of an item's expression and the name of its column."""
+        if b - a > 2 and self.t[a + 1].text == "=" and self.t[a].kind in ("word", "quoted"):
+            return a + 2, b, self.t[a].low
+        if b - a > 2 and self.low(b - 2) == "as" and self.t[b - 2].kind == "word":
+            return a, b - 2, self.t[b - 1].low if self.t[b - 1].kind != "string" else self.t[b - 1].text.lower().strip("n'")
+        if b - a > 1 and self.t[b - 1].kind in ("word", "quoted") and self.low(b - 1) != "end" and (self.t[b - 2].kind in ("word", "quoted", "number", "string", "var") and self.low(b - 2) not in _NOT_CALLS or self.t[b - 2].text == ")" or self.low(b - 2) == "end"):
+            return a, b - 1, self.t[b - 1].low
+        parts, j = self.name(a, b)
+        return a, b, parts[-1] if parts and j == b else ""
+
+    def chain(self, s: int, e: int, region: str) -> None:
+        """A chain of + as one fact, its operands with their kinds."""
+        parts, lo, i = [], s, s
+        while i < e:
+            if self.t[i].text == "+" and i > lo:
+                parts.append((lo, i))
+                lo = i + 1
+            elif self.t[i].text in ("-", "*", "/", "%", ","):
+                return
+            i = self.skip(i)
+        if parts:
+            parts.append((lo, e))
+            self.add("concat", s, region, n=len(parts), f=[f"{self.operand(a, b)}:{self.text(a, b)}" for a, b in parts])
 
     def grouping(self, s: int, e: int) -> None:
         n, kind = 1, ""
@@ -516,11 +619,16 @@ class Walk:
             if self.t[i].text == "(":
                 j = min(self.match.get(i, e), e)
                 if self.low(i + 1) in ("select", "with", "values"):
+                    sub = self.n_q + 1
                     if self.low(i + 1) != "values":
                         self.query(i + 1, j, "derived")
-                    self.add("from_ref", i, "", "", "derived", f=[kind])
-                else:
-                    self.sources(i + 1, j)
+                    k = j + 1 + (self.low(j + 1) == "as")
+                    named = k < e and self.t[k].kind in ("word", "quoted") and (self.t[k].kind == "quoted" or self.low(k) not in _JOIN_WORDS | _CLAUSES | {"on"})
+                    self.add("from_ref", i, "", self.t[k].low if named else "", "derived", f=[kind, f"sub:{sub}"])
+                    i = k + 1 if named else j + 1
+                    i = self.skip(i) if named and i < e and self.t[i].text == "(" else i
+                    continue
+                self.sources(i + 1, j)
                 i = self.skip(i)
             elif self.t[i].kind in ("word", "quoted", "temp", "var"):
                 parts, j = self.name(i, e)
@@ -530,8 +638,13 @@ class Walk:
                     what = "function"
                     if "apply" in kind and any("." in x for x in self.columns(j + 1, self.match.get(j, e))):
                         flags.append("correlated")
+                    flags.append("args:" + " , ".join(self.text(a, b) for a, b in self.split(j + 1, self.match.get(j, e))))
                     self.expression(j - 1, self.skip(j), "from")
                     j = self.skip(j)
+                    if self.low(j) == "with" and j + 1 < e and self.t[j + 1].text == "(" and self.low(j - 1) != "nolock" and parts[-1] in ("openxml", "openrowset", "openjson"):
+                        for a, b in self.split(j + 2, self.match.get(j + 1, e)):
+                            self.add("ddl", a, parts[-1], self.low(a), self.text(a + 1, b), f=["with_schema"])
+                        j = self.skip(j + 1)
                 if self.low(j) == "tablesample":
                     k = self.find(j, e, {"("})
                     self.add("hint", j, "tablesample", ".".join(parts), f=["sample"], n=self._int(k + 1))
@@ -545,13 +658,18 @@ class Walk:
                 if j < e and (self.low(j) == "with" and j + 1 < e and self.t[j + 1].text == "(" or self.t[j].text == "(" and self.low(j + 1) in _HINTS):
                     k = j + 1 if self.low(j) == "with" else j
                     for a, b in self.split(k + 1, self.match.get(k, e)):
+                        if self.low(a) == "index":
+                            inner = range(a + 2, min(self.match.get(a + 1, b), b)) if a + 1 < b and self.t[a + 1].text == "(" else range(a + 2, b)
+                            for x in inner:
+                                if self.t[x].kind in ("word", "quoted"):
+                                    self.add("hint", a, "index", ".".join(parts), self.t[x].low, f=["index_name"])
                         for h in (x for x in (self.low(y) for y in range(a, b)) if x in _HINTS):
                             self.add("hint", a, h, ".".join(parts), self.text(a, b), f=["table", *([] if k > j else ["no_with"])])
                     flags.append("hinted")
                     j = self.skip(k)
                 self.add("from_ref", i, ".".join(parts), alias, what, len(parts), flags)
                 if self.low(j) in ("pivot", "unpivot"):
-                    self.add("from_ref", j, "", "", self.low(j), f=[kind])
+                    self.add("from_ref", j, "", "", self.low(j), f=[kind, "args:" + self.text(j + 2, min(self.match.get(j + 1, e), e))])
                     j = self.skip(j + 1)
                     j += 1 if self.low(j) == "as" else 0
                     j += 1
@@ -570,7 +688,7 @@ class Walk:
 
     def end_of(self, s: int, e: int) -> int:
         """Where the statement at ``s`` ends: a semicolon, END, ELSE or the start of another statement."""
-        kind, i, case, sub, assigned = self.low(s), self.skip(s), 0, False, False
+        kind, i, case, sub, assigned, valued = self.low(s), self.skip(s), 0, False, False, False
         lead = kind
         if kind == "with":
             i = self._after_ctes(s + 1, e)
@@ -581,6 +699,9 @@ class Walk:
             w = t.low if t.kind == "word" else ""
             prev = self.low(i - 1)
             if t.text == ";":
+                if kind in ("exec", "execute") and i + 1 < e and self.t[i + 1].kind == "number" and self.t[i - 1].kind in ("word", "quoted"):
+                    i += 1  # the number of a procedure
+                    continue
                 return i
             if w == "case":
                 case += 1
@@ -590,10 +711,12 @@ class Walk:
                 case -= 1
             elif w == "else" and not case:
                 return i
+            elif w == "values" and lead == "insert":
+                valued = True
             elif w in _STARTS and not case and w != "with" and not (t.text and i + 1 < e and self.t[i + 1].text == "(" and w in ("update", "open", "close")):
                 ok = (
-                    (w in ("select",) and prev in ("union", "all", "except", "intersect", "for", "as", ")") and (prev != ")" or lead == "insert" and not sub))
-                    or (lead == "insert" and w in ("select", "exec", "execute") and not sub)
+                    (w in ("select",) and prev in ("union", "all", "except", "intersect", "for", "as", ")") and (prev != ")" or lead == "insert" and not sub and not valued))
+                    or (lead == "insert" and w in ("select", "exec", "execute") and not sub and not valued)
                     or (lead == "update" and w == "set" and not assigned)
                     or (lead == "merge" and w == "set" and prev == "update")
                     or (lead == "merge" and (prev in ("then", "matched") or w in ("update", "insert", "delete") and prev == "then"))
@@ -641,6 +764,8 @@ class Walk:
             if ended and w not in ("begin",) and not (i + 1 < e and self.t[i + 1].text == ":"):
                 self.add("mark", i, w, f=["unreachable"])
                 ended = False
+            if kinds and w == "if" and self.low(i - 1) == "end" and self.t[i - 1].line == self.t[i].line and kinds[-1][0] == "if":
+                self.add("mark", i, w, f=["if_after_end"])
             if kinds and self.t[kinds[-1][1]].line == self.t[i].line:
                 self.add("mark", i, w, f=["same_line"])
             kinds.append((w, i))
@@ -653,6 +778,8 @@ class Walk:
 
     def statement(self, i: int, e: int, depth: int) -> int:
         self.n_stmt += 1
+        self.n_q += 1
+        self.q, self.pq, self.outer = self.n_q, 0, []
         w, t = self.low(i), self.t[i]
         where = [*(["in_loop"] if self.loop else []), *(["in_try"] if self.tries else []), *(["in_catch"] if self.catches else []), *(["in_tran"] if self.trans else [])]
         if t.kind == "word" and i + 1 < e and self.t[i + 1].text == ":" and w not in _STARTS:
@@ -661,17 +788,21 @@ class Walk:
         if w == "begin" and self.low(i + 1) in ("tran", "transaction", "distributed"):
             self.trans += 1
             self.add("stmt", i, "begin tran", n=self.trans, f=where)
+            self.implicit = False
             return self.end_of(i + 1, e)
         if w == "begin" and self.low(i + 1) in ("try", "catch"):
             part = self.low(i + 1)
             self.add("stmt", i, f"begin {part}", n=depth, f=where)
             attr = "tries" if part == "try" else "catches"
+            if part == "try":
+                self.try_id = self.n_stmt
+                self.trans_at_try = self.trans
             setattr(self, attr, getattr(self, attr) + 1)
             j, kinds = self.block(i + 2, e, depth + 1)
             setattr(self, attr, getattr(self, attr) - 1)
             if part == "catch":
                 names = {k for k, _ in kinds}
-                self.add("stmt", i, "catch", n=len(kinds), f=[*(["rethrows"] if names & {"throw", "raiserror"} or any(self.low(k) in ("throw", "raiserror") for k in range(i, j)) else []), *where])
+                self.add("stmt", i, "catch", n=len(kinds), f=[f"try:{self.try_id}", *(["rethrows"] if names & {"throw", "raiserror"} or any(self.low(k) in ("throw", "raiserror") for k in range(i, j)) else []), *where])
             return min(e, j + 2)
         if w == "begin":
             k = i + 1
@@ -685,6 +816,8 @@ class Walk:
         if w == "else":
             return i + 1
         j = self.end_of(i, e)
+        if self.on.get("implicit_transactions") and not self.trans and (w in ("insert", "update", "delete", "merge", "truncate", "open", "fetch", "create", "alter", "drop", "grant", "revoke") or w == "select" and self.find(i, j, {"from"}) < j):
+            self.implicit = True
         getattr(self, f"s_{w}", self.s_other)(i, j, where)
         return j
 
@@ -785,15 +918,24 @@ class Walk:
         if source == "default":
             flags.append("column_list")
         rows = 0
+        out = self.find(m, src, {"output"})
+        if out < src:
+            self.expression(out + 1, src, "output")
         if source == "values":
-            rows = len(self.split(src + 1, j))
+            tuples = self.split(src + 1, j)
+            rows = len(tuples)
             self.expression(src + 1, j, "values")
+            for a, b in tuples:
+                for k_col, (x, y) in enumerate(self.split(a + 1, self.match.get(a, b))):
+                    self.add("assign_col", x, cols[k_col].strip("[]") if k_col < len(cols) else "", self.text(x, y), self.operand(x, y), k_col + 1, ["insert", ".".join(parts)])
         elif source == "select":
             self.query(src, j, "insert")
+            for k_col, c in enumerate(cols):
+                self.add("assign_col", i, c, "", "query", k_col + 1, ["insert", ".".join(parts)])
         elif source in ("exec", "execute"):
             self.s_exec(src, j, where)
         self.target(i, "insert", parts, k, where)
-        self.add("stmt", i, "insert", ".".join(parts), source, rows, flags)
+        self.add("stmt", i, "insert", ".".join(parts), source, rows, [*flags, f"cols:{len(cols)}"])
         for c in cols:
             if c in ("$node_id", "$edge_id"):
                 self.add("assign", i, c, "", "insert", f=["pseudo"])
@@ -821,6 +963,9 @@ class Walk:
                 if self.t[a].kind == "var":
                     self.writes[self.low(a)] += 1
                     fl = ["var"]
+                if self.t[a].kind != "var":
+                    self.add("assign_col", a, tgt.split(".")[-1].strip(" []"), self.text(eq + 1, b), self.operand(eq + 1, b), 0, ["update", ".".join(parts)])
+                    self.chain(eq + 1, b, "set")
                 self.add("assign", a, tgt, self.text(eq + 1, b), "update", f=[*fl, f"src:{self.operand(eq + 1, b)}", *(["pseudo"] if tgt in ("$node_id", "$edge_id") else [])])
                 self.expression(eq + 1, b, "set")
         if fr < j:
@@ -829,7 +974,9 @@ class Walk:
         if wh < j:
             self.condition(wh + 1, min(j, self.find(wh, j, {"option"})), "where")
             flags.append("where")
-        flags += ["output"] if out < j else []
+        if out < j:
+            self.expression(out + 1, min(x for x in (fr, wh, j) if x > out), "output")
+            flags.append("output")
         self.target(i, "update", parts, k, where)
         self.add("stmt", i, "update", ".".join(parts), f=flags)
 
@@ -841,6 +988,9 @@ class Walk:
         k += self.low(k) == "from"
         parts, m = self.name(k, j)
         fr, wh = self.find(m, j, {"from"}), self.find(m, j, {"where"})
+        out = self.find(m, j, {"output"})
+        if out < j:
+            self.expression(out + 1, min(x for x in (fr, wh, j) if x > out), "output")
         if fr < j:
             self.sources(fr + 1, min(j, wh) if wh > fr else j)
             flags.append("from")
@@ -856,6 +1006,8 @@ class Walk:
         parts, m = self.name(k, j)
         us, on = self.find(m, j, {"using"}), self.find(m, j, {"on"})
         hints = {self.low(x) for x in range(m, us)}
+        alias = self.low(m + (self.low(m) == "as")) if m < us and self.low(m) != "with" else ""
+        self.add("from_ref", k, ".".join(parts), "" if alias in ("using", "with") else alias, "table", len(parts), ["merge_target"])
         self.sources(us + 1, on)
         wh = self.find(on, j, {"when"})
         self.condition(on + 1, wh, "merge_on")
@@ -866,6 +1018,14 @@ class Walk:
             th = self.find(wh, nxt, {"then"})
             an = self.find(wh, th, {"and"})
             self.add("stmt", wh, "merge action", self.low(th + 1), f=["conditional"] if an < th else [])
+            if self.low(th + 1) == "insert" and th + 2 < nxt and self.t[th + 2].text == "(":
+                for k_col, (a, b) in enumerate(self.split(th + 3, self.match.get(th + 2, nxt))):
+                    self.add("assign_col", a, self.text(a, b), "", "", k_col + 1, ["insert", ".".join(parts)])
+            elif self.low(th + 1) == "update":
+                for a, b in self.split(th + 3, nxt):
+                    eq = self.find(a, b, {"="})
+                    if eq < b:
+                        self.add("assign_col", a, self.low(eq - 1), self.text(eq + 1, b), self.operand(eq + 1, b), 0, ["update", ".".join(parts)])
             self.expression(th + 1, nxt, "set")
             wh = nxt
 
@@ -879,7 +1039,10 @@ class Walk:
             if "+" in {self.t[x].text for x in range(*inside)}:
                 flags.append("concatenated")
             self.expression(*inside, "exec")
-            self.add("exec", i, "(dynamic)", self.text(*inside), f=flags)
+            after = self.match.get(k, j) + 1
+            if self.low(after) == "at":
+                flags.append("at")
+            self.add("exec", i, "(dynamic)", self.text(*inside), n=len(self.split(*inside)), f=flags)
             self.add("stmt", i, "exec", "(dynamic)", f=flags)
             return
         if k + 1 < j and self.t[k].kind == "var" and self.t[k + 1].text == "=":
@@ -893,11 +1056,19 @@ class Walk:
         if name.rpartition(".")[2] == "sp_executesql" and args:
             kind = self.operand(*args[0])
             flags += ["dynamic", "constant" if kind == "literal" else "variable"]
+        rs = self.find(m, j, {"with"})
+        if rs < j and self.low(rs + 1) == "result" and self.low(rs + 2) == "sets":
+            outer = self.split(rs + 4, self.match.get(rs + 3, j))
+            if outer and self.t[outer[0][0]].text == "(":
+                shape = self.split(outer[0][0] + 1, self.match.get(outer[0][0], j))
+                for k_col, (a, b) in enumerate(shape):
+                    self.add("result_col", a, name, self.text(a + 1, b).replace(" ", ""), self.low(a), k_col + 1)
+            args = self.split(m, rs)
         for a, b in args:
             if b - a >= 2 and self.low(b - 1) in ("output", "out") and self.t[b - 2].kind == "var":
                 self.writes[self.low(b - 2)] += 1
             self.expression(a, b, "exec")
-        self.add("exec", i, name, self.text(m, j), n=len(args), f=[*flags, *(["variable_name"] if k < j and self.t[k].kind == "var" else [])])
+        self.add("exec", i, name, self.text(m, min(rs, j)), n=len(args), f=[*flags, *(["variable_name"] if k < j and self.t[k].kind == "var" else [])])
         self.add("stmt", i, "exec", name, f=flags)
 
     s_execute = s_exec
@@ -905,10 +1076,12 @@ class Walk:
     def s_declare(self, i: int, j: int, where: list[str]) -> None:
         if i + 1 < j and self.t[i + 1].kind != "var":
             cur = self.find(i, j, {"cursor"})
+            self.cursors[self.low(i + 1)] = self.n_q + 1
             fo = self.find(cur, j, {"for"})
             opts = [self.low(x) for x in [*range(i + 2, cur), *range(cur + 1, fo)]]
             self.add("cursor", i, self.low(i + 1), " ".join(opts), n=0, f=opts)
             if fo < j:
+                self.add("cursor_body", i, self.low(i + 1), n=self.n_q + 1)
                 self.query(fo + 1, j, "cursor")
             self.add("stmt", i, "declare cursor", self.low(i + 1), f=where)
             return
@@ -920,6 +1093,11 @@ class Walk:
             k = a + 1 + (self.low(a + 1) == "as")
             eq = self.find(k, b, {"="})
             kind = self.text(k, eq).replace(" ", "")
+            if self.low(k) == "table" and k + 1 < b and self.t[k + 1].text == "(":
+                from plumbline.tsql.ddl import table_body
+
+                table_body(self, v, k + 2, self.match.get(k + 1, b), ["variable"])
+                kind = "table"
             self.declared.setdefault(v, self.t[a])
             lines[self.t[a].line] += 1
             self.add("var", a, v, kind, self.text(eq + 1, b) if eq < b else "", f=[*(["initial"] if eq < b else []), *(["same_line"] if lines[self.t[a].line] > 1 else [])])
@@ -946,20 +1124,68 @@ class Walk:
         for n in names:
             opt = n.strip().removesuffix(f" {value}").strip()
             self.add("set_opt", i, opt, value, f=where)
+            self.on[opt] = self.n_stmt if value == "on" else 0
         self.add("stmt", i, "set option", " ".join(words[:1]), value, f=where)
 
+    def state(self) -> list[str]:
+        """What holds here: SET options that are on, open cursors, a transaction that was open before the TRY block."""
+        return [f"on:{k}" for k, v in self.on.items() if v] + [f"open:{c}" for c in sorted(self.open_cursors)] + (["before_try"] if self.trans_at_try else [])
+
     def s_commit(self, i: int, j: int, where: list[str]) -> None:
         self.trans = max(0, self.trans - 1)
-        self.add("stmt", i, "commit", f=where)
+        self.add("stmt", i, "commit", f=[*where, *self.state()])
+        self.implicit = False
 
     def s_rollback(self, i: int, j: int, where: list[str]) -> None:
-        self.trans = 0
-        self.add("stmt", i, "rollback", f=where)
+        named = j - i > 2 and self.t[j - 1].kind in ("word", "quoted", "var") and self.low(j - 1) not in ("tran", "transaction", "work")
+        if not named:  # a rollback to a savepoint keeps the transaction
+            self.trans, self.implicit = 0, False
+        self.add("stmt", i, "rollback", f=[*where, *([] if named else self.state()), *(["savepoint"] if named else [])])
+
+    def s_open(self, i: int, j: int, where: list[str]) -> None:
+        self.open_cursors.add(self.low(i + 1))
+        self.s_other(i, j, where)
+
+    def s_close(self, i: int, j: int, where: list[str]) -> None:
+        self.open_cursors.discard(self.low(i + 1))
+        self.s_other(i, j, where)
+
+    def s_fetch(self, i: int, j: int, where: list[str]) -> None:
+        into = self.find(i, j, {"into"})
+        fr = self.find(i, j, {"from"})
+        name = self.low(fr + 1) if fr < j else self.low(into - 1) if into < j else ""
+        if into < j:
+            names = self.split(into + 1, j)
+            self.add("fetch", i, name, n=len(names))
+            for a, _ in names:
+                self.writes[self.low(a)] += 1
+        self.s_other(i, j, where)
+
+    def s_truncate(self, i: int, j: int, where: list[str]) -> None:
+        self.add("stmt", i, "truncate", ".".join(self.name(i + 2, j)[0]), f=[*where, *([f"try:{self.try_id}"] if self.tries else [])])
+
+    def s_revert(self, i: int, j: int, where: list[str]) -> None:
+        eq = self.find(i, j, {"="})
+        self.add("stmt", i, "revert", self.low(eq + 1) if eq < j else "", f=where)
+
+    def s_goto(self, i: int, j: int, where: list[str]) -> None:
+        target = self.low(i + 1)
+        k = j
+        while k < len(self.t) and self.t[k].text == ";":
+            k += 1
+        nxt = k + 1 < len(self.t) and self.t[k].low == target and self.t[k + 1].text == ":"
+        self.add("stmt", i, "goto", target, self.text(i, j), f=[*where, *(["to_next"] if nxt else [])])
 
     def s_create(self, i: int, j: int, where: list[str]) -> None:
+        from plumbline.tsql.ddl import ddl
+
+        ddl(self, i, j)
         self.add("stmt", i, f"create {self.low(i + 1)}", ".".join(self.name(i + 2, j)[0]), self.text(i, min(j, i + 60)), f=where)
 
     def s_alter(self, i: int, j: int, where: list[str]) -> None:
+        from plumbline.tsql.ddl import ddl
+
+        ddl(self, i, j)
         self.add("stmt", i, f"alter {self.low(i + 1)}", ".".join(self.name(i + 2, j)[0]), self.text(i, min(j, i + 60)), f=where)
 
     def s_return(self, i: int, j: int, where: list[str]) -> None:
@@ -976,11 +1202,13 @@ class Walk:
 
     def header(self) -> int:
         """Reads CREATE or ALTER of a routine and returns where its body begins; 0 if there is none."""
+        self.inline = False
         i = next((k for k, t in enumerate(self.t) if t.low in ("create", "alter") and t.kind == "word" and self.low(k + 1 + 2 * (self.low(k + 1) == "or")) in ("procedure", "proc", "function", "view", "trigger")), None)
         if i is None:
             return 0
         k = i + 1 + 2 * (self.low(i + 1) == "or")
         kind = {"proc": "procedure"}.get(self.low(k), self.low(k))
+        self.kind = kind
         parts, m = self.name(k + 1, len(self.t))
         flags = [*(["quoted_reserved"] if self.t[m - 1].kind == "quoted" and parts[-1:] and parts[-1] in _STARTS | _CLAUSES else [])]
         if m + 1 < len(self.t) and self.t[m].text == ";" and self.t[m + 1].kind == "number":
@@ -995,6 +1223,12 @@ class Walk:
             if w == "execute" and self.low(j + 1) == "as":
                 j += 2
             j = self.skip(j) if kind != "procedure" or self.t[j].text == "(" else j + 1
+        tail = [x.low for x in self.t if x.text != ";"][-3:]
+        if kind == "view" and tail == ["with", "check", "option"]:
+            flags.append("check_option")
+            while self.t[-1].low != "with":
+                self.t.pop()
+            self.t.pop()
         words = {self.low(x) for x in range(m, as_at)}
         flags += [x for x in ("recompile", "native_compilation", "schemabinding", "encryption", "after", "instead", "insert", "update", "delete", "logon") if x in words]
         lo, hi = (m, as_at)
@@ -1009,7 +1243,23 @@ class Walk:
                     outp = self.low(b - 1) in ("output", "out") or self.low(b - 1) == "readonly" and self.low(b - 2) in ("output", "out")
                     eq = self.find(a, b, {"="})
                     end = min(eq, b - outp)
-                    self.add("param", a, self.low(a), self.text(a + 1 + (self.low(a + 1) == "as"), end).replace(" ", ""), n=n_params, f=["output"] if outp else [])
+                    readonly = self.low(b - 1) == "readonly"
+                    self.add("param", a, self.low(a), self.text(a + 1 + (self.low(a + 1) == "as"), end - readonly).replace(" ", ""), n=n_params, f=[*(["output"] if outp else []), *(["readonly"] if readonly else [])])
+        returns = self.find(m, as_at, {"returns"}) if kind == "function" else as_at
+        if returns < as_at:
+            k = returns + 1
+            what = "table" if self.low(k) == "table" else "table_variable" if self.t[k].kind == "var" else "scalar"
+            flags.append(f"returns:{what}")
+            self.inline = what == "table"
+            if what == "scalar":
+                stop = min(self.find(k, as_at, {"with", "as"}), as_at)
+                self.add("returns", k, self.text(k, stop).replace(" ", ""), f=["schemabinding"] if "schemabinding" in words else [])
+            elif what == "table_variable":
+                from plumbline.tsql.ddl import table_body
+
+                lo_r = self.find(k, as_at, {"("}) if self.low(k + 1) != "table" else k + 2
+                if lo_r < as_at:
+                    table_body(self, ".".join(parts), lo_r + 1, self.match.get(lo_r, as_at), ["returns", *(["schemabinding"] if "schemabinding" in words else [])])
         on = ".".join(self.name(m + 1, as_at)[0]) if kind == "trigger" else ""
         self.add("module", i, kind, ".".join(parts), on, n=n_params, f=[*flags, *(["unqualified"] if len(parts) == 1 else []), *([f"events:{len(words & {'insert', 'update', 'delete'})}"] if kind == "trigger" else [])])
         return as_at + 1
@@ -1018,12 +1268,12 @@ class Walk:
         lines = self.sql.splitlines()
         for k, x in enumerate(lines):
             if len(x) > 200:
-                self.out.append(("line", k + 1, 201, 0, "long", "", "", len(x), []))
+                self.out.append(("line", k + 1, 201, 0, 0, 0, "long", "", "", len(x), []))
             if "\t" in x:
-                self.out.append(("line", k + 1, x.index("\t") + 1, 0, "tab", "", "", len(x), []))
+                self.out.append(("line", k + 1, x.index("\t") + 1, 0, 0, 0, "tab", "", "", len(x), []))
         first = min((t.pos for t in self.t), default=0)
         for c in self.comments:
-            self.out.append(("comment", c.line, c.col, 0, c.text, "", "", c.text.count("\n") + 1, ["header"] if c.pos < first else []))
+            self.out.append(("comment", c.line, c.col, 0, 0, 0, c.text, "", "", c.text.count("\n") + 1, ["header"] if c.pos < first else []))
         if not self.t:
             return self.out
         try:
@@ -1035,13 +1285,15 @@ class Walk:
         except (RecursionError, IndexError, KeyError) as ex:
             self.add("skipped", 0, type(ex).__name__)
         for v, t in self.declared.items():
-            self.out.append(("var_use", t.line, t.col, 0, v, "", "", self.uses[v], ["written"] if self.writes[v] else []))
+            self.out.append(("var_use", t.line, t.col, 0, 0, 0, v, "", "", self.uses[v], ["written"] if self.writes[v] else []))
         everywhere = Counter(t.low for t in self.t if t.kind == "var")
         for r in [r for r in self.out if r[0] == "param"]:
-            self.out.append(("param_use", r[1], r[2], 0, r[4], "", "", everywhere[r[4]] - 1, [*r[8], *(["written"] if self.writes[r[4]] else [])]))
+            self.out.append(("param_use", r[1], r[2], 0, 0, 0, r[6], "", "", everywhere[r[6]] - 1, [*r[10], *(["written"] if self.writes[r[6]] else [])]))
+        if self.implicit:
+            self.out.append(("stmt", self.t[-1].line, self.t[-1].col, self.n_stmt, 0, 0, "end", "", "", 0, ["implicit_tran"]))
         if self.trans:
-            self.out.append(("stmt", self.t[-1].line, self.t[-1].col, self.n_stmt, "end", "", "", self.trans, ["open_tran"]))
-        self.out.append(("size", 1, 1, 0, "", "", "", len(lines), ["header_comment"] if self.comments and self.comments[0].pos < first else []))
+            self.out.append(("stmt", self.t[-1].line, self.t[-1].col, self.n_stmt, 0, 0, "end", "", "", self.trans, ["open_tran"]))
+        self.out.append(("size", 1, 1, 0, 0, 0, "", "", "", len(lines), ["header_comment"] if self.comments and self.comments[0].pos < first else []))
         return self.out
 
 

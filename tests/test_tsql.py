@@ -33,13 +33,13 @@ merge t using s on t.i = s.i when matched then update set a = 1 when not matched
 select a from t order by a offset 5 rows fetch next 5 rows only
 declare c cursor local for select a from t
 if exists (select 1 from t) delete from t where a = 1 else print 'x'"""
-    kinds = [f[4] for f in rel(sql, "stmt") if f[4] not in ("dml", "merge action")]
+    kinds = [f[6] for f in rel(sql, "stmt") if f[6] not in ("dml", "merge action")]
     assert kinds == ["insert", "update", "merge", "select", "declare cursor", "delete", "print", "if"]
 
 
 def test_predicate_facts():
     (p,) = rel("select 1 from t where year(t.d) between 1 and 2", "pred")
-    assert p[5] == "between" and "l:call:year" in p[8] and "lcol:t.d" in p[8]
-    assert any("catch_all" in f[8] for f in rel("select 1 from t where (a = @p or @p is null)", "pred"))
-    assert any("contradiction" in f[8] for f in rel("select 1 from t where a > 5 and a < 3", "pred"))
-    assert not any("contradiction" in f[8] for f in rel("select 1 from t where a > 3 and a < 5", "pred"))
+    assert p[7] == "between" and "l:call:year" in p[10] and "lcol:t.d" in p[10]
+    assert any("catch_all" in f[10] for f in rel("select 1 from t where (a = @p or @p is null)", "pred"))
+    assert any("contradiction" in f[10] for f in rel("select 1 from t where a > 5 and a < 3", "pred"))
+    assert not any("contradiction" in f[10] for f in rel("select 1 from t where a > 3 and a < 5", "pred"))
