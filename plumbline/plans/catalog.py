@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.rules import engine
 from plumbline.rules.catalog_rules import catalog_scan
-from plumbline.session import cut
+from plumbline.session import cut, cut_columns
 from plumbline.sources.tables import table
 
 INDEX_RULES = ["index-design/duplicate-index", "index-design/subsumed-index", "index-design/mergeable-indexes-differing-include-only", "index-design/disabled-index", "index-design/non-unique-clustered-index", "index-design/heap-with-nonclustered-indexes", "index-design/heap-with-nonclustered-primary-key", "index-design/unindexed-foreign-key", "catalog/untrusted-foreign-key", "catalog/cascading-foreign-key"]
@@ -28,7 +28,7 @@ def rules_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "live_modules", "module_id", "definition", "object_type_code", "is_recompiled", "is_schema_bound", "uses_database_collation")
+    return table(spark, sf_dir, "live_modules", "module_id", "definition", "object_type_code", "uses_quoted_identifier", "uses_ansi_nulls", "is_recompiled", "is_schema_bound", "uses_database_collation")
 
 
 def rules_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ def rules_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and modules of each rule."""
-    found, _ = engine.scan(_modules(spark, sf_dir))
+    found, broken = engine.scan(_modules(spark, sf_dir))
+    if broken:
+        raise RuntimeError("; ".join(broken))
     return found.groupBy("rule_id", "confidence").agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("module_id").alias("n_modules"))
 
 
@@ -62,13 +64,20 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dml_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tables the corpus reads and writes, how often, from how many modules."""
-    facts = engine.module_facts(_modules(spark, sf_dir))
+    facts = cut_columns(engine.module_facts(_modules(spark, sf_dir)).where("rel in ('from_ref','stmt')"))  # parsed once, read twice
     reads = facts.where("rel = 'from_ref' and c = 'table'").select("module_id", F.col("a").alias("table_name"), F.lit("read").alias("access"))
     writes = facts.where("rel = 'stmt' and a = 'dml'").select("module_id", F.col("b").alias("table_name"), F.col("c").alias("access"))
     return reads.unionByName(writes).groupBy("table_name", "access").agg(F.count(F.lit(1)).alias("n_sites"), F.count_distinct("module_id").alias("n_modules"))
 
 
-QUERIES = {"rules_catalog": rules_catalog, "rules_modules": rules_modules, "rules_summary": rules_summary, "module_relations": module_relations, "call_edges": call_edges, "dml_matrix": dml_matrix}
+def rules_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that no rule has seen: without a definition, or with a text that could not be read to its end."""
+    modules = table(spark, sf_dir, "live_modules", "module_id", "definition")
+    unread = engine.module_facts(modules).where("rel = 'skipped'").select("module_id", F.concat_ws(" ", F.lit("not read:"), "a").alias("reason")).distinct()
+    return modules.where(F.col("definition").isNull()).select("module_id", F.lit("no definition").alias("reason")).unionByName(unread)
+
+
+QUERIES = {"rules_catalog": rules_catalog, "rules_modules": rules_modules, "rules_summary": rules_summary, "module_relations": module_relations, "call_edges": call_edges, "dml_matrix": dml_matrix, "rules_skipped": rules_skipped}
 
 _IX = "(SELECT DISTINCT table_qualified_name AS table_name, name, kind, is_unique, key_columns, included_columns, key_column_is_descending, is_filtered, is_clustered, is_disabled, filter_definition FROM cat_indexes)"
 _OK = "NOT {0}.is_disabled AND NOT coalesce({0}.is_filtered, false)"
@@ -76,6 +85,7 @@ _TWO = f"FROM {_IX} x JOIN {_IX} y ON x.table_name = y.table_name AND x.name <>
 _NOT_IN = "len(list_filter(coalesce({0}.included_columns, []), lambda c: NOT list_contains(coalesce({1}.included_columns, []), c)))"
 
 ORACLE = {
+    "rules_skipped": "SELECT module_id, 'no definition' AS reason FROM live_modules WHERE definition IS NULL",
     "rules_catalog": " UNION ALL ".join(
         [
             f"SELECT 'index-design/duplicate-index' AS rule_id, x.table_name AS object, concat_ws(' ', x.name, y.name) AS detail {_TWO} AND x.name < y.name AND x.key_columns = y.key_columns",

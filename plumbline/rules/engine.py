@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -280,33 +282,43 @@ def scan(modules: DataFrame, facts: DataFrame | None = None, columns: DataFrame
     from plumbline.rules import scoped, typed
 
     facts = written_facts(modules) if facts is None else facts
-    found, broken = single_fact_findings(facts), []
     catalog = catalog or {}
     if columns is None and "cat_columns" in catalog:
         columns = catalog["cat_columns"].select("table_name", "column_name", "declared", "collation", "is_nullable", "is_masked", "encryption", F.lit(True).alias("is_ansi_padded"))
-    if columns is not None:
-        found = without_harmless_casts(found, facts, columns)
-    for rule in JOIN_RULES:
-        try:
-            found = found.unionByName(rule(facts))
-        except Exception as ex:  # noqa: BLE001 - containment: one rule must not stop the scan
-            broken.append(f"{rule.__name__}: {ex}")
     none = facts.sparkSession.createDataFrame([], COLUMNS)
-    rules = [lambda f: typed.write_findings(f, none), typed.call_findings] if columns is None else [lambda f: typed.typed_scan(f, columns)]
-    for rule in rules:
-        try:
-            found = found.unionByName(rule(facts).distinct())  # a callee installed in several databases counts once
-        except Exception as ex:  # noqa: BLE001 - as above
-            broken.append(f"typed: {ex}")
     flags = ["uses_quoted_identifier", "uses_ansi_nulls"]
     compiled = modules.select(F.col("module_id").cast("long").alias("module_id"), *[(F.coalesce(c, F.lit(True)) if c in modules.columns else F.lit(True)).alias(c) for c in flags])
     named = [r for r, (_, sql) in scoped.SCOPED_RULES.items() if "cat_columns" in catalog or not scoped.NEEDS_COLUMNS.search(sql)]
-    more, failed = scoped.scoped_findings(scoped.Scopes(facts, catalog), compiled, named)
-    broken += failed
-    found = found if more is None else found.unionByName(more)
+    single = (lambda f: single_fact_findings(f)) if columns is None else (lambda f: without_harmless_casts(single_fact_findings(f), f, columns))
+    rules: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [("facts", single), *((r.__name__, r) for r in JOIN_RULES), ("calls", lambda f: typed.call_findings(f).distinct())]  # a callee installed in several databases counts once
+    if columns is None:
+        rules.append(("writes", lambda f: typed.write_findings(f, none).distinct()))
+    else:
+        rules += [("writes", lambda f: typed.write_findings(f, columns).distinct()), ("predicates", lambda f: typed.predicate_findings(cut(typed.typed_predicates(f, columns))).distinct())]
     if {"is_recompiled", "object_type_code", "is_schema_bound", "uses_database_collation"} <= set(modules.columns):
-        found = found.unionByName(compile_flags(facts, modules))
-    return found, broken
+        rules.append(("compile flags", lambda f: compile_flags(f, modules)))
+    tasks = [(name, lambda r=r: r(facts)) for name, r in rules]
+    done, broken = together(tasks, ["module_id", "rule_id", "line", "col", "confidence", "detail"])
+    more, failed = together(*scoped.scoped_tasks(scoped.Scopes(facts, catalog), compiled, named))
+    return reduce(DataFrame.unionByName, [*done, *more]), broken + failed
+
+
+#: Rules, or groups of them, that are run at one time.
+AT_ONCE = 6
+
+
+def together(tasks: list[tuple[str, Callable[[], DataFrame]]], columns: list[str]) -> tuple[list[DataFrame], list[str]]:
+    """The tasks' frames, each written once, several at a time; those that fail, when planned or when run, are named."""
+
+    def run(task: tuple[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, str]:
+        try:
+            return cut(task[1]().select(*columns)), ""
+        except Exception as ex:  # noqa: BLE001 - containment: one rule must not stop the scan
+            return None, f"{task[0]}: {str(ex)[:300]}"
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        got = list(pool.map(run, tasks))
+    return [df for df, _ in got if df is not None], [why for _, why in got if why]
 
 
 def without_harmless_casts(found: DataFrame, facts: DataFrame, columns: DataFrame) -> DataFrame:

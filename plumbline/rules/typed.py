@@ -126,5 +126,4 @@ def call_findings(facts: DataFrame) -> DataFrame:
 
 def typed_scan(facts: DataFrame, columns: DataFrame) -> DataFrame:
     """All typed findings. ``columns``: table_name, column_name, declared, collation, is_nullable, is_masked, encryption, is_ansi_padded."""
-    facts = cut(facts)
     return predicate_findings(cut(typed_predicates(facts, columns))).unionByName(write_findings(facts, columns)).unionByName(call_findings(facts))
