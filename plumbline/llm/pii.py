@@ -3,7 +3,7 @@
 Candidates are text spans of the right shape: runs of capitalised words, digit groups, street-like phrases. A candidate's
 lexical pattern is the words around it. Seeds (listed names, international phone numbers, labelled document numbers) make
 patterns good in which they are frequent; good patterns make the instances known that they hold; known instances make
-further patterns good. Spark scores this graph of patterns and instances over all documents for a few rounds; the patterns
+further patterns good. Spark scores this graph of patterns and instances over all documents until a round adds nothing; the patterns
 that remain then find the identifiers, listed or not, in every document. E-mail addresses are found by their form.
 """
 
@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import ChainMap
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, ship, spread
+from plumbline.session import cut, cut_with, ship, spread
 
-#: Rounds of scoring; least distinct instances and share of known ones of a good pattern; the share of a sure one.
-ROUNDS, SUPPORT, GOOD, SURE = 3, 3, 0.65, 0.75
+#: Least distinct instances and share of known ones of a good pattern; the share of a sure one.
+SUPPORT, GOOD, SURE = 3, 0.65, 0.75
 #: Share of a word's frames that must be good for it to become a known part of names; each occurrence has three frames.
 KEPT = 0.2
 #: Share of known shapes that makes a pattern of phone-like numbers one of phone numbers, which have many shapes.
@@ -35,6 +36,8 @@ MOST_PATTERNS = 20_000
 #: Bits of the map of those others. It is of a fixed size; a pattern wrongly held to be on it costs a row and no result.
 MAP_BITS = 1 << 24
 KINDS = ["name", "number", "shape", "place"]
+#: Words and initials of one person's name at most.
+MOST_PARTS = 6
 
 _S = "[   ]"
 _CAP = r"[A-ZÀ-ÖØ-Þ]\w*(?:['’\-]\w+)*"
@@ -74,7 +77,7 @@ _PARTICLE = r"(?:de la|de los|de las|de|del|da|dos|du|des|van der|van den|van de
 _PART = r"(?:[^\W\d_]['’])?[^\W\d_][^\W\d_]+(?:[’'\-][^\W\d_]+)*"
 _TITLE_PART = r"(?:(?:al|el|ibn|bin|ben)-)?(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+)(?:[’'\-](?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+))*"
 _WORD_OR_INITIAL = rf"(?:{_TITLE_PART}(?![\w])|[A-ZÀ-ÖØ-Þ]\.(?:-?[A-ZÀ-ÖØ-Þ]\.)*)"
-RUN = re.compile(rf"(?<![\w@#.\-'’/]){_WORD_OR_INITIAL}(?:(?:,?{_S}|{_S}{_PARTICLE}{_S}){_WORD_OR_INITIAL}){{0,4}}(?![\w@_])")
+RUN = re.compile(rf"(?<![\w@#.\-'’/]){_WORD_OR_INITIAL}(?:(?:,?{_S}|{_S}{_PARTICLE}{_S}){_WORD_OR_INITIAL}){{0,{MOST_PARTS - 1}}}(?![\w@_])")
 # Titles before names.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "frau", "herr", "mme", "mlle", "m", "sr", "sra", "srta", "don", "doña", "señor", "señora", "madame", "monsieur", "sir"}
 _TITLE = re.compile(rf"(?:(?:Mrs?|Ms|Miss|Dr|Prof|Frau|Herr|Mme|Mlle|Sra?|Srta|Do[nñ]a?|Señora?|Madame|Monsieur)\.?{_S})+(?=\S)", re.I)
@@ -97,15 +100,28 @@ def _tokens(s: str) -> list[str]:
 
 
 def _left(text: str, s: int, n: int) -> list[str]:
-    lo = max(0, s - 24 * n)
-    t = _tokens(text[lo:s])
-    if lo:  # the first word may be cut
-        return (["~"] * n + t[1:])[-n:]
-    return (["^"] * n + t)[-n:]
+    """The ``n`` words before ``s``; the part that is read grows until it holds them, whatever their length."""
+    size = 24 * n
+    while True:
+        lo = max(0, s - size)
+        t = _tokens(text[lo:s])
+        if not lo:
+            return (["^"] * n + t)[-n:]
+        if len(t) > n:  # the first word may be cut
+            return t[-n:]
+        size *= 2
 
 
 def _right(text: str, e: int, n: int) -> list[str]:
-    return (_tokens(text[e : e + 24 * n]) + ["$"] * n)[:n]  # at least n words, or the end of the text
+    """The ``n`` words after ``e``, read alike."""
+    size = 24 * n
+    while True:
+        t = _tokens(text[e : e + size])
+        if e + size >= len(text):
+            return (t + ["$"] * n)[:n]
+        if len(t) > n:  # the last word may be cut
+            return t[:n]
+        size *= 2
 
 
 class _Words:
@@ -287,7 +303,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m in ADDRESS.finditer(text):
                 if free.take(m.start(), m.end()):
                     places.append((m.start(), m.end()))
-                    inst = " ".join(_tokens(m.group())[:6]) + " " + m.group()[:12]
+                    inst = xxhash.xxh3_128_hexdigest(m.group().encode("utf-8", "surrogatepass"))
                     for k in _place_keys(text, m.start(), m.end()):
                         seen["address", k, inst] = seen.get(("address", k, inst), 0) + 1
             text = _masked(text, places, _PLACE)
@@ -316,15 +332,18 @@ def _score_names(edges: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFr
     broad = edges.groupBy("pat").agg(F.count_distinct("inst").alias("total")).where(F.col("total") >= SUPPORT)
     graph = cut(edges.join(broad, "pat"))
     known = cut(listed)
-    for _ in range(ROUNDS):
+    seen_known = -1
+    while True:
         held = graph.join(known, "token", "left_semi").select("pat", "inst", "total").distinct()
         good = held.groupBy("pat", "total").agg(F.count(F.lit(1)).alias("hits")).where((F.col("hits") >= SUPPORT) & (F.col("hits") >= GOOD * F.col("total")))
         good = cut(good.select("pat", "hits", (F.col("hits") / F.col("total")).alias("conf")))
         # A token becomes known if several sure patterns hold it, and not just a small part of its occurrences.
         fresh = graph.join(good.where(F.col("conf") >= SURE), "pat").groupBy("token").agg(F.sum("n").alias("in"), F.count_distinct("pat").alias("pats")).join(seen, "token")
         fresh = fresh.where((F.col("pats") > 1) & (F.col("in") >= KEPT * F.col("all")) & (F.length("token") > 1)).select("token")
-        known = cut(known.unionByName(fresh).distinct())
-    return good, known
+        known, now = cut_with(known.unionByName(fresh).distinct(), n=F.count(F.lit(1)))
+        if now["n"] == seen_known:  # known parts only grow, and end
+            return good, known
+        seen_known = now["n"]
 
 
 def _score_numbers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,14 +360,17 @@ def _score_numbers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = edges.where(seeded).select("pat").distinct().select("pat", F.lit("id_number").alias("type"))
     first = edges.where(F.col("inst").startswith("+") & phone_like).select("inst").distinct().select("inst", F.lit("phone").alias("type"))
     good, known = cut(ids.withColumn("conf", F.lit(1.0))), cut(first)
-    for _ in range(ROUNDS):
+    last = (-1, -1)
+    while True:
         met = edges.join(good, "pat").groupBy("inst", "type").agg(F.sum("n").alias("in")).join(shapes, "inst")
         fresh = met.where(F.when(F.col("type") == "phone", phone_like & (F.col("in") >= 0.35 * F.col("all"))).otherwise(F.col("in") >= 0.5 * F.col("all"))).select("inst", "type")
-        known = cut(known.unionByName(fresh).distinct())
+        known, n_known = cut_with(known.unionByName(fresh).distinct(), n=F.count(F.lit(1)))
         held = edges.join(known, "inst").groupBy("pat", "type").agg(F.sum("n").alias("hits")).join(totals, "pat")
         found = held.where((F.col("hits") >= SUPPORT) & ((F.col("hits") >= SURE * F.col("total")) | (F.col("type") == "phone") & (F.col("plausible") >= 0.9 * F.col("total")) & (F.col("hits") >= PHONES * F.col("total")))).select("pat", "type", (F.col("hits") / F.col("total")).alias("conf"))
-        good = cut(ids.withColumn("conf", F.lit(1.0)).unionByName(found.join(ids.select("pat"), "pat", "left_anti")))
-    return good, known
+        good, n_good = cut_with(ids.withColumn("conf", F.lit(1.0)).unionByName(found.join(ids.select("pat"), "pat", "left_anti")), n=F.count(F.lit(1)))
+        if (n_known["n"], n_good["n"]) == last:
+            return good, known
+        last = (n_known["n"], n_good["n"])
 
 
 def _lefts(names: Mapping[str, float]) -> dict[str, None]:
@@ -424,8 +446,8 @@ class Finder:
             out.append((a, b, "name", tokens, len(tokens), s))
 
     def _lower(self, text: str, words: _Words, s: int, free: _Free, out: list) -> None:
-        found = [m.span() for m in _LOWER_PART.finditer(text, s, min(len(text), s + 90))][:6]
-        for k in range(min(5, len(found)), 0, -1):
+        found = [m.span() for m in islice(_LOWER_PART.finditer(text, s), MOST_PARTS)]
+        for k in range(len(found), 0, -1):
             e = found[k - 1][1]
             if text[e - 1] == "," or _NOT_NAME.search(text, s, e) or not self._conf(words, s, e):
                 continue
