@@ -16,7 +16,7 @@ from plumbline.operators.chunked import prefix_sums
 from plumbline.session import cut, cut_with, parallelism
 
 #: Peeling goes on while a round takes off one in so many of the remaining nodes; each node is so read a bounded number of times.
-PEEL_PART = 8
+PEEL_PART = 3
 SEPARATOR = " > "
 
 
@@ -118,21 +118,20 @@ def _paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def hierarchy(links: DataFrame, child: str, parent: str) -> DataFrame:
-    """``(node, node_kind, root_name, depth, path, n_descendants, n_parents, tour, entry, exit, cycle)`` of each node on any link.
+    """``(node, node_kind, root_name, depth, path, n_descendants, tour, entry, exit, cycle)`` of each node on any link.
 
     ``node_kind`` is ``cycle`` on a cycle (a self-link included), ``below_cycle`` if the way up ends in a cycle, else
     ``tree``; root and path are empty and depth is -1 outside trees. ``n_descendants`` counts the other nodes from which the
     way up reaches the node. ``entry`` and ``exit`` are the node's places in the Euler tour of ``tour``, the root or the node on
     a cycle that it hangs on: exactly the nodes below it have both of theirs between. ``cycle`` is the least node of a node's
     cycle, else null. Repeated links count once. A link with a null end leads nowhere, its other end is still a node. A child
-    with several parents goes up to the least of them; ``n_parents`` tells how many there are. No links give no rows.
+    with several parents goes up to the least of them; ``parents`` lists them all. No links give no rows.
     """
     c, p = F.col(f"`{child}`"), F.col(f"`{parent}`")
     ends = cut(links.select(c.alias("child"), p.alias("parent")).distinct())
     nodes = ends.select(F.explode(F.array("child", "parent")).alias("v")).where(F.col("v").isNotNull()).distinct()
-    edges = ends.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("child").agg(F.min("parent").alias("parent"), _n().alias("n_parents"))
-    edges, seen = cut_with(edges, n=_n())
-    up = edges.select("child", "parent")
+    edges = ends.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("child").agg(F.min("parent").alias("parent"))
+    up, seen = cut_with(edges, n=_n())
     cycles = cut(_cycle_nodes(up, seen["n"]))
     forest = up.join(cycles.select(F.col("v").alias("child")), "child", "left_anti")
     tour = cut(_tour(forest))
@@ -162,13 +161,18 @@ def hierarchy(links: DataFrame, child: str, parent: str) -> DataFrame:
     tree_edges = up.join(inner.where(F.col("kind") == "tree").select(F.col("v").alias("child")), "child", "left_semi")
     paths = _paths(tree_edges, roots).unionByName(roots.select(F.col("v").alias("child"), F.col("v").alias("path")))
     every = inner.unionByName(roots).unionByName(on_cycle)
-    many = edges.select(F.col("child").alias("v"), "n_parents")
-    return every.join(paths.withColumnRenamed("child", "v"), "v", "left").join(many, "v", "left").select(
+    return every.join(paths.withColumnRenamed("child", "v"), "v", "left").select(
         F.col("v").alias("node"), F.col("kind").alias("node_kind"), F.col("root").alias("root_name"), "depth", F.coalesce("path", F.lit("")).alias("path"), F.col("n_desc").alias("n_descendants"),
-        F.coalesce("n_parents", zero).alias("n_parents"), "tour", "entry", "exit", "cycle",
+        "tour", "entry", "exit", "cycle",
     )
 
 
+def parents(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """``(node, parent, is_way_up)``: every parent of each node, those included that the hierarchy doesn't go up to."""
+    ends = links.select(F.col(f"`{child}`").alias("node"), F.col(f"`{parent}`").alias("parent")).where(F.col("node").isNotNull() & F.col("parent").isNotNull()).distinct()
+    return ends.join(ends.groupBy("node").agg(F.min("parent").alias("least")), "node").select("node", "parent", (F.col("parent") == F.col("least")).alias("is_way_up"))
+
+
 def _half(c: Column, level: Column) -> Column:
     return F.call_function("shiftright", c, level)
 

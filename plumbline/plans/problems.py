@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.chunked import keyed_stats
 from plumbline.operators.diff import diff
-from plumbline.operators.hierarchy import descendants, hierarchy
+from plumbline.operators.hierarchy import descendants, hierarchy, parents
 from plumbline.session import cut
 from plumbline.sources.tables import table
 
@@ -61,8 +61,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table's places in the Euler tour of its tree, and how many parents it has."""
-    return hierarchy(_links(spark, sf_dir), "below", "above").select(F.col("node").alias("table_name"), "tour", "entry", "exit", "cycle", "n_parents")
+    """Each table's places in the Euler tour of its tree."""
+    return hierarchy(_links(spark, sf_dir), "below", "above").select(F.col("node").alias("table_name"), "tour", "entry", "exit", "cycle")
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link, those included that the hierarchy doesn't go up because the table has another parent before them."""
-    links = _links(spark, sf_dir).where(F.col("below").isNotNull() & F.col("above").isNotNull()).distinct()
-    least = links.groupBy("below").agg(F.min("above").alias("least"))
-    return links.join(least, "below").select(F.col("below").alias("table_name"), F.col("above").alias("parent_name"), (F.col("above") == F.col("least")).alias("is_way_up"))
+    return parents(_links(spark, sf_dir), "below", "above").select(F.col("node").alias("table_name"), F.col("parent").alias("parent_name"), "is_way_up")
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_stats": p4_stats, "p5_found": p5_found, "p5_intervals": p5_intervals, "p5_descendants": p5_descendants, "p5_links": p5_links}
