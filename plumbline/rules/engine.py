@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -34,6 +35,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from plumbline.tsql.facts import counts
+
+    n: Counter[tuple[str | None, str]] = Counter()
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            for kind, text in zip(part["kind"].to_pylist(), part["text"].to_pylist(), strict=True):
+                try:
+                    found = counts(text)
+                except Exception:  # noqa: BLE001 - a module that breaks the walk is one skipped fact
+                    found = {"skipped": 1}
+                for rel, k in found.items():
+                    n[kind, rel] += k
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([r for _, r in n], pa.string()), pa.array(n.values(), pa.int64())], ["kind", "rel", "n"])
+
+
 def module_facts(modules: DataFrame, ident: str = "module_id", text: str = "definition") -> DataFrame:
     """The facts of each module with a non-null text; a module that can't be read gives a ``skipped`` fact."""
     ship(modules.sparkSession)
@@ -41,6 +59,13 @@ def module_facts(modules: DataFrame, ident: str = "module_id", text: str = "defi
     return spread(rows).mapInArrow(_parse, FACTS)
 
 
+def fact_counts(modules: DataFrame, kind: str, text: str = "definition") -> DataFrame:
+    """``(kind, rel, n)``: the facts of each relation in the modules of each kind. They are counted where they are found; no fact is moved."""
+    ship(modules.sparkSession)
+    rows = modules.select(F.col(f"`{kind}`").cast("string").alias("kind"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
+    return spread(rows).mapInArrow(_count, "kind string, rel string, n long").groupBy("kind", "rel").agg(F.sum("n").alias("n"))
+
+
 def written_facts(modules: DataFrame) -> DataFrame:
     """``module_facts`` as a table in the shared folder, by relation, so that each rule reads the relations and columns it needs."""
     return cut_columns(module_facts(modules).sortWithinPartitions("rel", "module_id"))
